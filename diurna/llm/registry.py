@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, hnsw, langid, quality, simhash, tokenfile
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_quality": quality.op2_quality,
+    "op3_token_file": tokenfile.op3_token_file,
+    "op5_language": langid.op5_language,
+    "op8_simhash_groups": simhash.op8_simhash_groups,
+    "op10_nearest": hnsw.op10_nearest,
 }
 
 ORACLES: dict[str, str] = {}
