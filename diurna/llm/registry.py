@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, hnsw, langid, quality, simhash, tokenfile
+from . import bpe, decontam, hnsw, langid, licences, quality, simhash, tokenfile
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_quality": quality.op2_quality,
     "op3_token_file": tokenfile.op3_token_file,
+    "op4_decontaminate": decontam.op4_decontaminate,
     "op5_language": langid.op5_language,
     "op8_simhash_groups": simhash.op8_simhash_groups,
+    "op9_licences": licences.op9_licences,
     "op10_nearest": hnsw.op10_nearest,
 }
 
