@@ -15,6 +15,10 @@ import pyarrow as pa
 
 #: Bytes of text that one step of work holds at once (a single longer document is one step).
 SLICE_BYTES = 8 << 20
+#: Bytes that a pass over single characters holds at once, as it needs many times that in arrays.
+STEP_BYTES = 1 << 20
+# freed buffers go back to the system, as many Python workers share an executor's memory
+pa.set_memory_pool(pa.system_memory_pool())
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Code points with the White_Space property.
@@ -77,6 +81,19 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the pieces of all documents and how many each has; works on STEP_BYTES at a time."""
+    ends, counts, at, docs = [], [], 0, len(offsets) - 1
+    while at < docs:
+        upto = min(max(int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, side="right")) - 1, at + 1), docs)
+        bounds, n = _pretokens(data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at])
+        ends.append(bounds[:-1] + offsets[at])
+        counts.append(n)
+        at = upto
+    ends.append(np.array([len(data)]))
+    return np.concatenate(ends), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+
+def _pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the pieces of the GPT-2 style pattern begin, for all documents at once.
 
     The pattern is public_tokenizers.PATTERN: contractions, then runs of letters, numbers or other

@@ -33,14 +33,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import shared_folder, written
-from .textcore import SLICE_BYTES, binary_array, flat, gather, pretokens, slices
+from .textcore import binary_array, flat, gather, pretokens, slices
 
 MAGIC = 0x31535449424B4F54
 BLOCK_IDS = 1 << 16
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 4 << 20
 GROUP = 64
 FOOTER_BYTES = 5 * 8
 #: Words whose ids a Python worker remembers between batches; when full it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def pack_ids(ids: np.ndarray, bits: int) -> bytes:
@@ -145,8 +147,42 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    special = [t.content for t in own.get_added_tokens_decoder().values()]
-    return own, special, {}
+    return own, [t.content for t in own.get_added_tokens_decoder().values()], Known(own)
+
+
+class Known:
+    """Ids of the words met so far, as flat arrays; each word is given to the library once."""
+
+    def __init__(self, own) -> None:
+        self.own = own
+        # in a byte-level vocabulary each character of a token stands for one byte
+        self.bytes_of = np.zeros(own.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in own.get_vocab(with_added_tokens=True).items():
+            self.bytes_of[i] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and for each word where its ids begin and how many there are."""
+        if len(self.at) > REMEMBERED:
+            self.forget()
+        at = self.at
+        fresh = [w for w in words if w not in at]
+        if fresh:
+            at.update(zip(fresh, range(len(at), len(at) + len(fresh)), strict=True))
+            # one call for all: each word is split and merged by itself
+            ids = self.own.encode_batch_fast([[w.decode("utf-8", "replace") for w in fresh]], is_pretokenized=True, add_special_tokens=False)[0].ids
+            ids = np.array(ids, np.uint32)
+            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))) + 1
+            self.ends.append(upto + self.ends[-1][-1])
+            self.ids.append(ids)
+        self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+        number = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        ends = self.ends[0]
+        return self.ids[0], ends[number], ends[number + 1] - ends[number]
 
 
 def encode_slice(path: str, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,18 +209,7 @@ def encode_slice(path: str, column: pa.Array, end: int) -> tuple[np.ndarray, np.
         bounds = bounds[~drop]
         counts = np.where(whole, 1, counts)
     pieces = binary_array(data, bounds).dictionary_encode()
-    words = pieces.dictionary.to_pylist()
-    if len(known) > REMEMBERED:
-        known.clear()
-    fresh = [w for w in words if w not in known]
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
-        for w, e in zip(part, own.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known[w] = e.ids
-    ids = [known[w] for w in words]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    table = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-    starts = np.cumsum(lengths) - lengths
+    table, starts, lengths = known.look_up(pieces.dictionary.to_pylist())
     places = pieces.indices.to_numpy(zero_copy_only=False)
     sizes = lengths[places]
     by_piece = np.append(0, np.cumsum(sizes))
@@ -239,7 +264,7 @@ def read(files: DataFrame) -> DataFrame:
                 at = file.docs
                 lo = 0
                 while lo < len(at) - 1:
-                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 21), side="right")) - 1)
+                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), side="right")) - 1)
                     values = file.read(int(at[lo]), int(at[hi]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(row["doc_ids"][lo:hi], pa.int64()), pa.array(row["before"] + at[lo:hi]), pa.ListArray.from_arrays(pa.array(at[lo : hi + 1] - at[lo], pa.int32()), pa.array(values.astype(np.int32)))],
