@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, hnsw, langid, licences, quality, simhash, tokenfile
+from . import bpe, decontam, hnsw, langid, licences, pii, quality, simhash, tokenfile, urls
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -10,9 +10,13 @@ QUERIES = {
     "op3_token_file": tokenfile.op3_token_file,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_language": langid.op5_language,
+    "op6_url_filter": urls.op6_url_filter,
+    "op7_surrogates": pii.op7_surrogates,
     "op8_simhash_groups": simhash.op8_simhash_groups,
     "op9_licences": licences.op9_licences,
     "op10_nearest": hnsw.op10_nearest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": urls.ORACLE,
+}
