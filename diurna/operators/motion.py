@@ -22,8 +22,8 @@ def norm(columns: tuple[Column, ...]) -> Column:
 
 
 def numeric(value: Column) -> Column:
-    """As NUMERIC(10,4): halves go up as the number reads in decimals, not as its binary form has it."""
-    return value.cast("decimal(20,12)").cast("decimal(10,4)")
+    """Rounded to four decimals: halves go up as the number reads in decimals, not as its binary form has it."""
+    return value.cast("decimal(20,12)").cast("decimal(12,4)")
 
 
 def accelerometer_points(points: DataFrame, segments: DataFrame, in_ms2: bool = False) -> DataFrame:

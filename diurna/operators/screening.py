@@ -73,11 +73,6 @@ def kruskal(values: DataFrame, group: str = "outcome", compat: bool = False) ->
     return out.withColumn("p", chi2_tail(F.col("h"), F.col("k") - 1))
 
 
-@F.pandas_udf("double")
-def _chi2(h: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(x, int(k)) if x == x and x is not None else None for x, k in zip(h, df, strict=True)])
-
-
 def chi2_sf(x: float, df: int) -> float:
     """Upper tail of the chi-squared distribution, in closed form by whole or half steps."""
     if x <= 0:
@@ -96,6 +91,14 @@ def chi2_sf(x: float, df: int) -> float:
     return total
 
 
+def _chi2(h: Column, df: Column) -> Column:
+    @F.pandas_udf("double")
+    def tail(h: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([chi2_sf(x, int(k)) if x == x and x is not None else None for x, k in zip(h, df, strict=True)], dtype="float64")
+
+    return tail(h.cast("double"), df.cast("int"))
+
+
 def chi2_tail(h: Column, df: Column) -> Column:
     """For one to three groups in closed form on columns; for more by a function on few rows."""
     return F.when(df == 2, F.exp(-h / 2)).when(df <= 0, F.lit(1.0)).otherwise(_chi2(h, df))

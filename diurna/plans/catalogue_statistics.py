@@ -1 +1,238 @@
-"""x"""
+"""Queries on statistics, screening and preparation for models."""
+
+from __future__ import annotations
+
+from .catalogue import *  # noqa: F403
+from .catalogue import EV, LONG, F, Window, day_values, long_values, modelling, motion, outcome_values, query, screening, secondary, values, views
+
+STATS = """q AS (SELECT participantid, feature, avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_samp(x) AS sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, max(x) - min(x) AS range FROM lv GROUP BY 1, 2),
+r AS (SELECT participantid, feature, sqrt(avg(dx * dx)) AS rmssd FROM (SELECT *, x - lag(x) OVER (PARTITION BY participantid, feature ORDER BY d) AS dx FROM lv) GROUP BY 1, 2),
+m AS (SELECT participantid, feature, 1.4826 * quantile_cont(abs(x - median), 0.5) AS mad, count(*) FILTER (x > median) AS above_median, count(*) FILTER (x < median) AS below_median FROM lv JOIN q USING (participantid, feature) GROUP BY 1, 2)"""
+
+
+@query(
+    "e13_secondary_statistics",
+    f"WITH {LONG}, {STATS} SELECT participantid, feature, CAST(CAST(CAST(mean AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS mean, CAST(CAST(CAST(median AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS median, CAST(CAST(CAST(sd AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS sd, CAST(CAST(CAST(iqr AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS iqr, CAST(CAST(CAST(CASE WHEN mean <> 0 THEN sd / mean END AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS cv, CAST(CAST(CAST(rmssd AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS rmssd, CAST(CAST(CAST(mad AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS mad, CAST(CAST(CAST(range AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS range, above_median, below_median FROM q JOIN r USING (participantid, feature) JOIN m USING (participantid, feature)",
+)
+def e13(spark, d):
+    out = secondary.statistics(long_values(spark, d)).drop("entropy")
+    return out.select(*(motion.numeric(F.col(c)).alias(c) if t == "double" else c for c, t in out.dtypes))
+
+
+HIST = """hs AS (SELECT participantid, feature, min(x) AS lo, max(x) AS hi FROM lv GROUP BY 1, 2),
+hr AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 10 WHEN greatest(abs(lo), abs(hi)) > 0 THEN greatest(abs(lo), abs(hi)) / 10 ELSE 0.1 END AS raw FROM hs),
+hb AS (SELECT *, power(10.0, floor(log10(raw))) AS b FROM hr),
+hp AS (SELECT *, CASE WHEN 10 * b - raw < 1.5 * (raw - 5 * b) THEN 10 * b WHEN 5 * b - raw < 2.75 * (raw - 2 * b) THEN 5 * b WHEN 2 * b - raw < 1.5 * (raw - b) THEN 2 * b ELSE b END AS step FROM hb),
+hc AS (SELECT participantid, feature, greatest(ceil(x / step - 1e-7) - 1, floor(lo / step + 1e-7)) AS bin, count(*) AS n FROM lv JOIN hp USING (participantid, feature) GROUP BY 1, 2, 3)"""
+
+
+@query("m07_hist_entropy", f"WITH {LONG}, {HIST} SELECT participantid, feature, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS entropy FROM hc GROUP BY 1, 2")
+def m07(spark, d):
+    return secondary.histogram_entropy(long_values(spark, d), ["participantid", "feature"])
+
+
+@query(
+    "o12_participant_features",
+    f"WITH {LONG}, {STATS}, u AS (SELECT participantid, count(*) AS available_days FROM dayval GROUP BY 1) SELECT participantid, available_days, "
+    + ", ".join(f"CAST(CAST(CAST(max({s}) FILTER (feature = '{c}') AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS {c}_{s}" for c in ("total", "level") for s in ("mean", "median", "mad"))
+    + ", (CAST(participantid AS BIGINT) * 3) % 11 AS emo_symptoms_baseline, CASE WHEN (CAST(participantid AS BIGINT) * 3) % 11 <= 3 THEN 'normal' WHEN (CAST(participantid AS BIGINT) * 3) % 11 <= 5 THEN 'borderline' ELSE 'abnormal' END AS emo_symptoms_baseline_cat FROM u JOIN q USING (participantid) JOIN m USING (participantid, feature) GROUP BY participantid, available_days",
+)
+def o12(spark, d):
+    days = day_values(spark, d).join(views.scores(spark, d).select("participantid", "emo_symptoms_baseline"), "participantid", "left")
+    out = secondary.with_categories(secondary.participant_features(days, ["total", "level"]))
+    return out.select("participantid", "available_days", *(motion.numeric(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for c in ("total", "level") for s in ("mean", "median", "mad")), "emo_symptoms_baseline", "emo_symptoms_baseline_cat")
+
+
+@query("m08_first_known", f"WITH {EV} SELECT participantid, arg_min(value, ts) FILTER (k % 3 <> 0) AS first_value FROM ev GROUP BY 1")
+def m08(spark, d):
+    e = views.events(spark, d).withColumn("v", F.when(F.col("k") % 3 != 0, F.col("value")))
+    return e.groupBy("participantid").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("measuredat"))).alias("first_value"))
+
+
+@query("f11_successive_differences", f"WITH {LONG} SELECT participantid, feature, strftime(d, '%Y-%m-%d') AS date_local, round(x - lag(x) OVER (PARTITION BY participantid, feature ORDER BY d), 4) AS diff FROM lv")
+def f11(spark, d):
+    w = Window.partitionBy("participantid", "feature").orderBy("date_local")
+    return long_values(spark, d).select("participantid", "feature", "date_local", (F.col("x") - F.lag("x").over(w)).alias("diff"))
+
+
+@query("e15_iqr_outliers", f"WITH {EV}, b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM ev) SELECT event_id, round(value, 4) AS value, round(q1 - 1.5 * (q3 - q1), 4) AS lower, round(q3 + 1.5 * (q3 - q1), 4) AS upper FROM ev, b WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)")
+def e15(spark, d):
+    return secondary.iqr_outliers(views.events(spark, d), "value", ["event_id"])
+
+
+RANKED = f"""{LONG}, ov AS (SELECT participantid, feature, avg(x) AS x, CAST(CAST(participantid AS BIGINT) % 3 AS VARCHAR) AS outcome FROM lv GROUP BY 1, 2),
+rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS r, count(*) OVER (PARTITION BY feature, x) AS ties FROM ov)"""
+
+
+@query("f13_average_ranks", f"WITH {RANKED} SELECT participantid, feature, CAST(r AS DOUBLE) AS r FROM rk")
+def f13(spark, d):
+    return outcome_values(spark, d).select("participantid", "feature", screening.average_rank(["feature"], "x").alias("r"))
+
+
+KW = f"""{RANKED}, kg AS (SELECT feature, outcome, sum(r) AS s, count(*) AS m, sum(ties * ties - 1) AS t FROM rk GROUP BY 1, 2),
+kw AS (SELECT feature, sum(m) AS n, count(*) AS k, (12 / (sum(m) * (sum(m) + 1)) * sum(s * s / m) - 3 * (sum(m) + 1)) / (1 - sum(t) / (power(sum(m), 3) - sum(m))) AS h FROM kg GROUP BY 1)"""
+
+
+@query("m11_kruskal", f"WITH {KW} SELECT feature, round(h, 4) AS h, k, CAST(n AS BIGINT) AS n, round(greatest(0, (h - (k - 1)) / (n - 1)), 4) AS epsilon2, round(exp(-h / 2), 4) AS p FROM kw")
+def m11(spark, d):
+    return screening.kruskal(outcome_values(spark, d))
+
+
+@query("f14_bh_adjust", f"WITH {KW}, p AS (SELECT feature, exp(-h / 2) AS p FROM kw), s AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS a FROM p) SELECT feature, round(p, 4) AS p, round(least(1, min(a) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 4) AS q FROM s")
+def f14(spark, d):
+    return screening.bh_adjusted(screening.kruskal(outcome_values(spark, d))).select("feature", "p", "q")
+
+
+@query(
+    "m09_spearman",
+    f"""WITH {LONG}, ov AS (SELECT participantid, feature, avg(x) AS x FROM lv GROUP BY 1, 2), pr AS (SELECT a.feature AS a, b.feature AS b, a.x AS xa, b.x AS xb FROM ov a JOIN ov b USING (participantid) WHERE a.feature < b.feature),
+rr AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY xa) + (count(*) OVER (PARTITION BY a, b, xa) - 1) / 2 AS ra, rank() OVER (PARTITION BY a, b ORDER BY xb) + (count(*) OVER (PARTITION BY a, b, xb) - 1) / 2 AS rb FROM pr)
+SELECT a, b, round(corr(ra, rb), 4) AS rho, count(*) AS n FROM rr GROUP BY 1, 2""",
+)
+def m09(spark, d):
+    return screening.spearman(outcome_values(spark, d))
+
+
+@query("m10_feature_clusters")
+def m10(spark, d):
+    features = ["total", "level", "n"]
+    numbers = screening.clusters(screening.spearman(outcome_values(spark, d)).toPandas(), features, 0.5)
+    return spark.createDataFrame([(f, numbers[f], f in screening.representatives(numbers, features)) for f in features], "feature string, cluster int, representative boolean")
+
+
+@query("f10_first_of_cluster")
+def f10(spark, d):
+    return m10(spark, d).where("representative").select("feature", "cluster")
+
+
+@query("m12_dunn")
+def m12(spark, d):
+    return screening.dunn(outcome_values(spark, d))
+
+
+@query("m13_bootstrap_medians")
+def m13(spark, d):
+    return screening.bootstrap_medians(outcome_values(spark, d), ["feature", "outcome"], rounds=200)
+
+
+SETS = "sets AS (SELECT DISTINCT et AS name, user_id % 40 AS member FROM ev WHERE event_id % 37 = 0)"
+
+
+def _sets(spark, d):
+    return views.events(spark, d).where("event_id % 37 = 0").select(F.col("event_type").alias("name"), (F.col("user_id") % 40).alias("member")).distinct()
+
+
+@query("h06_jaccard", f"WITH {EV}, {SETS}, n AS (SELECT name, count(*) AS n FROM sets GROUP BY 1), c AS (SELECT a.name AS a, b.name AS b, count(*) AS c FROM sets a JOIN sets b USING (member) WHERE a.name < b.name GROUP BY 1, 2) SELECT x.name AS a, y.name AS b, round(coalesce(c, 0) / (x.n + y.n - coalesce(c, 0)), 4) AS jaccard FROM n x JOIN n y ON x.name < y.name LEFT JOIN c ON c.a = x.name AND c.b = y.name")
+def h06(spark, d):
+    return screening.jaccard(_sets(spark, d), "name", "member")
+
+
+@query("m14_selection_frequency", f"WITH {EV}, {SETS} SELECT member, count(DISTINCT name) AS folds, count(DISTINCT name) >= 4 AS stable FROM sets GROUP BY 1")
+def m14(spark, d):
+    return screening.selection_frequency(_sets(spark, d), "name", "member", 4)
+
+
+PREDICTED = "pd AS (SELECT CAST(user_id % 3 AS VARCHAR) AS actual, CAST(CASE WHEN k % 4 = 0 THEN (user_id + 1) % 3 ELSE user_id % 3 END AS VARCHAR) AS predicted FROM ev)"
+
+
+def _predictions(spark, d):
+    u = F.col("user_id")
+    return views.events(spark, d).select((u % 3).cast("string").alias("actual"), F.when(F.col("k") % 4 == 0, (u + 1) % 3).otherwise(u % 3).cast("string").alias("predicted"))
+
+
+@query("m16_confusion", f"WITH {EV}, {PREDICTED} SELECT actual, predicted, count(*) AS n FROM pd GROUP BY 1, 2")
+def m16(spark, d):
+    return screening.confusion(_predictions(spark, d))
+
+
+@query(
+    "m16_agreement",
+    f"""WITH {EV}, {PREDICTED}, t AS (SELECT count(*) AS t FROM pd), a AS (SELECT actual AS c, count(*) AS r, count(*) FILTER (actual = predicted) AS h FROM pd GROUP BY 1), b AS (SELECT predicted AS c, count(*) AS l FROM pd GROUP BY 1),
+m AS (SELECT *, h / l AS p, h / r AS rc, ((t - r - l + h) / (t - r) + h / r) / 2 AS bal FROM a JOIN b USING (c), t), s AS (SELECT sum(h) / max(t) AS acc, sum(r * l) / (max(t) * max(t)) AS ch, avg(p) AS mp, avg(rc) AS mr, avg(2 * p * rc / (p + rc)) AS mf, avg(bal) AS mb FROM m)
+SELECT round(acc, 4) AS accuracy, round((acc - ch) / (1 - ch), 4) AS kappa, round(mp, 4) AS macro_precision, round(mr, 4) AS macro_recall, round(mf, 4) AS macro_f1, round(mb, 4) AS balanced_accuracy FROM s""",
+)
+def m16_agreement(spark, d):
+    return screening.agreement(screening.confusion(_predictions(spark, d)))
+
+
+@query("m15_accuracy_interval")
+def m15(spark, d):
+    row = _predictions(spark, d).agg(F.count_if(F.col("actual") == F.col("predicted")).alias("hits"), F.count("*").alias("n")).first()
+    low, high = screening.binomial_interval(min(row.hits, 900), min(row.n, 1000))
+    return spark.createDataFrame([(row.hits, row.n, low, high)], "hits long, n long, low double, high double")
+
+
+@query("n05_class_weights", f"WITH {EV}, c AS (SELECT et AS event_type, count(*) AS n FROM ev GROUP BY 1) SELECT event_type, n, round(1.0 / n / (SELECT avg(1.0 / n) FROM c), 4) AS weight FROM c")
+def n05(spark, d):
+    return modelling.class_weights(views.events(spark, d), "event_type")
+
+
+@query("n07_stratified_folds", f"WITH {EV} SELECT event_id, (row_number() OVER (PARTITION BY et, user_id % 2 ORDER BY event_id) - 1) % 10 AS fold FROM ev")
+def n07(spark, d):
+    e = views.events(spark, d).withColumn("device", F.col("user_id") % 2)
+    return modelling.folds(e, ["event_type", "device"], 10, "event_id").select("event_id", "fold")
+
+
+@query("n06_upsampled_cells", f"WITH {EV}, c AS (SELECT et, user_id % 2 AS device, count(*) AS n FROM ev GROUP BY 1, 2) SELECT et AS event_type, device, (SELECT max(n) FROM c) AS n FROM c")
+def n06(spark, d):
+    e = views.events(spark, d).withColumn("device", F.col("user_id") % 2)
+    return modelling.upsampled(e, ["event_type", "device"], "event_id").groupBy("event_type", "device").agg(F.count("*").alias("n"))
+
+
+IMPORTANCE = "im AS (SELECT CAST(user_id AS VARCHAR) AS feature, CAST(sum(k) AS DOUBLE) AS importance FROM ev WHERE user_id < 40 GROUP BY 1)"
+
+
+def _importances(spark, d):
+    return views.events(spark, d).where("user_id < 40").groupBy(F.col("participantid").alias("feature")).agg(F.sum("k").cast("double").alias("importance"))
+
+
+@query("f12_running_share", f"WITH {EV}, {IMPORTANCE} SELECT feature, round(sum(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) / (SELECT sum(importance) FROM im), 4) AS share FROM im")
+def f12(spark, d):
+    return modelling.elbow(_importances(spark, d), 2.0).select("feature", "share")
+
+
+@query("n12_elbow", f"WITH {EV}, {IMPORTANCE}, s AS (SELECT *, row_number() OVER w AS place, sum(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) / (SELECT sum(importance) FROM im) AS share FROM im WINDOW w AS (ORDER BY importance DESC, feature)) SELECT feature, importance, place, round(share, 4) AS share FROM s WHERE place <= 10 OR share - importance / (SELECT sum(importance) FROM im) < 0.6 - 1e-12")
+def n12(spark, d):
+    return modelling.elbow(_importances(spark, d), 0.6)
+
+
+@query("n13_average_importance", f"WITH {EV} SELECT participantid AS feature, round(sum(k) / 5.0, 4) AS importance FROM ev GROUP BY 1")
+def n13(spark, d):
+    return modelling.average_importance(views.events(spark, d).select(F.col("participantid").alias("feature"), F.col("k").alias("importance")), 5)
+
+
+def _matrix(spark, d):
+    """A participants' matrix with device and class."""
+    days = day_values(spark, d)
+    f = secondary.participant_features(days, ["total", "level", "n"], [])
+    numbers = [c for c in f.columns if c.rsplit("_", 1)[-1] in ("mean", "median", "sd", "iqr", "rmssd")]
+    uid = F.col("participantid").cast("int")
+    return f.select("participantid", *numbers, F.when(uid % 2 == 0, "android").otherwise("ios").alias("device_type"), F.when(F.col("total_mean") > 90, "high").when(F.col("level_mean") > 50, "mid").otherwise("low").alias("outcome")), numbers
+
+
+@query("n01_huber")
+def n01(spark, d):
+    m, columns = _matrix(spark, d)
+    return modelling.fit_huber(m, columns)
+
+
+@query("n02_winsorized")
+def n02(spark, d):
+    m, columns = _matrix(spark, d)
+    return modelling.winsorized(m, modelling.fit_huber(m, columns), columns).select("participantid", *columns)
+
+
+@query("n04_imputed_medians", f"WITH {EV}, m AS (SELECT quantile_cont(value, 0.5) AS m FROM ev WHERE k % 3 <> 0) SELECT event_id, round(CASE WHEN k % 3 <> 0 THEN value ELSE m END, 4) AS v FROM ev, m")
+def n04(spark, d):
+    e = views.events(spark, d).select("event_id", F.when(F.col("k") % 3 != 0, F.col("value")).alias("v"))
+    return modelling.imputed(e, modelling.fit_medians(e, ["v"]))
+
+
+def _validated(spark, d, estimator):
+    m, columns = _matrix(spark, d)
+    return modelling.cross_validated(m, columns, [estimator], k=2, top=(8,)).select("fold", "participantid", "actual", "predicted")
+
+
+query("n08_elastic_net")(lambda spark, d: _validated(spark, d, ("elastic net", modelling.elastic_net(0.5, 0.01))))
+query("n09_random_forest")(lambda spark, d: _validated(spark, d, ("forest", modelling.random_forest(20, "sqrt"))))
+query("n11_boosting")(lambda spark, d: _validated(spark, d, ("boosting", modelling.boosted(0.1, 3, 5))))
