@@ -27,6 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .words import rolling, small
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F]+"
@@ -69,7 +70,8 @@ def similarity(a: Column, b: Column) -> Column:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, first_word, n_words, distance, similarity): the best window of each text for each item."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
-    items = items.where(F.size("words") > 0).select("item_id", F.size("words").alias("n"), shingles(F.col("words")).alias("bag"))
+    # what others build on is written once, as Spark would repeat such expressions wherever they are used
+    items = written(items.where(F.size("words") > 0).select("item_id", F.size("words").alias("n"), shingles(F.col("words")).alias("bag")))
     places = items.select("n", F.posexplode_outer("bag").alias("offset", "hash")).distinct()
     n_places = items.agg(F.sum(F.size("bag"))).first()[0] or 0
     # short items are whole windows of their own few words
@@ -86,12 +88,12 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("own") - F.col("n")))
     hit = hit.select("doc_id", "text_hash", "n", start.alias("first_word"), F.slice("own", start + 1, F.col("n")).alias("words"))
     windows = hit.groupBy("doc_id", "text_hash", "n", "first_word").agg(F.first("words").alias("words"))
-    windows = windows.select("doc_id", "text_hash", "n", "first_word", shingles(F.col("words")).alias("bag"))
+    windows = written(windows.select("doc_id", "text_hash", "n", "first_word", shingles(F.col("words")).alias("bag")))
 
-    prints = items.select("item_id", "n", F.col("bag").alias("item_bag"), simhash(F.col("bag")).alias("item_fp"))
+    prints = written(items.select("item_id", "n", F.col("bag").alias("item_bag"), simhash(F.col("bag")).alias("item_fp")))
     prints = prints.select("*", F.inline_outer(blocks(F.col("item_fp"))))
     n_items = items.count()
-    found = windows.withColumn("fp", simhash(F.col("bag"))).select("*", F.inline_outer(blocks(F.col("fp"))))
+    found = written(windows.withColumn("fp", simhash(F.col("bag")))).select("*", F.inline_outer(blocks(F.col("fp"))))
     pairs = found.join(small(prints, n_items * (RADIUS + 1)), ["n", "block", "value"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     # a pair that agrees in several blocks is kept once, at the first of them
