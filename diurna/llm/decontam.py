@@ -79,9 +79,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("own"))
     own = F.col("own")
-    kinds = [F.transform(shingles(own), lambda h, i: F.struct(i.alias("at"), h.alias("hash")))]
-    kinds += [F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i, n=n: F.struct(i.alias("at"), F.xxhash64(F.slice(own, i + 1, n)).alias("hash"))) for n in short]
-    guarded = [kinds[0], *(F.when(F.size(own) >= n, k).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>")) for n, k in zip(short, kinds[1:], strict=True))]
+    whole = lambda n: F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(own, i + 1, n)).alias("hash")))
+    none = F.array().cast("array<struct<at:int,hash:bigint>>")
+    guarded = [F.transform(shingles(own), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), *(F.when(F.size(own) >= n, whole(n)).otherwise(none) for n in short)]
     runs = texts.select("doc_id", "text_hash", "own", reduce(F.concat, guarded).alias("runs")).select("doc_id", "text_hash", "own", F.explode_outer("runs").alias("r")).select("doc_id", "text_hash", "own", "r.at", "r.hash")
 
     hit = runs.join(small(places, n_places), "hash")
