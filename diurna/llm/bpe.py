@@ -107,6 +107,8 @@ def words_of(limit: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, pieces, _ in blocks(batches, limit):
             words = pieces.dictionary
+            if not len(words):
+                continue
             bucket = bucket_of(words, buckets)
             order = np.argsort(bucket, kind="stable")
             data, ends = flat(words.take(pa.array(order)))
@@ -114,8 +116,7 @@ def words_of(limit: int, buckets: int):
             rows = []
             for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
                 rows.append((int(bucket[order[a]]), block, pack(order[a:b].astype("<u4"), np.diff(ends[a : b + 1]).astype("<u4"), data[ends[a] : ends[b]])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "words"])
 
     return run
 
