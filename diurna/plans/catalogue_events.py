@@ -5,7 +5,7 @@ from __future__ import annotations
 from .catalogue import *  # noqa: F403
 from .catalogue import (
     CALLS, DAILY_ACC, DAILY_CALLS, DAILY_SCREEN, DAY6, EV, GPS, LOC, LOCAL, NIGHT, PARTS, POINTS, SCREEN, SEG, SESSIONS, STAMP, STEPS, COUNTS, PAIRS, F, Window,
-    calls, daily, daily_calls, daily_motion, daily_screen, geo, gps, intervals, mobility, motion, nights, points, query, readers, segments, sequences, sessions, sinks, sleep, times, values, views, zoned,
+    calls, daily, daily_calls, daily_motion, daily_screen, enrichment, geo, gps, intervals, mobility, motion, nights, points, query, readers, segments, sequences, sessions, sinks, sleep, times, values, views, zoned,
 )
 
 
@@ -356,3 +356,83 @@ def v08(spark, d):
 @query("v09_screen_status", f"WITH {DAILY_SCREEN}, r AS ({SCREEN_RESIDUAL}) SELECT status, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM r), 2) AS percentage FROM r GROUP BY 1")
 def v09(spark, d):
     return daily.status_shares(daily.screen_residuals(daily_screen(spark, d)))
+
+
+BOXES = (("America/Halifax", 43.0, 47.0, -66.0, -59.0), ("America/Toronto", 41.0, 50.0, -80.0, -62.5), ("Europe/Berlin", 47.0, 55.0, 6.0, 15.0))
+
+
+def _boxes(spark):
+    rows = F.array(*(F.struct(F.lit(z).alias("timezone_id"), *(F.lit(v).alias(n) for n, v in zip(("south", "north", "west", "east"), b, strict=True))) for z, *b in BOXES))
+    return spark.range(1).select(F.inline(rows))
+
+
+ZONE = "CASE WHEN {lat} BETWEEN 43 AND 47 AND {lon} BETWEEN -66 AND -59 THEN 'America/Halifax' WHEN {lat} BETWEEN 41 AND 50 AND {lon} BETWEEN -80 AND -62.5 THEN 'America/Toronto' ELSE 'Unknown_Timezone' END"
+
+
+@query("l05_zone_lookup", f"WITH {EV}, p AS (SELECT event_id, 44 + value / 100 AS lat, -63 + k / 100 AS lon FROM ev) SELECT event_id, {ZONE.format(lat='lat', lon='lon')} AS timezone_id FROM p")
+@query("j15_zone_of_place", f"WITH {EV}, p AS (SELECT event_id, 44 + value / 100 AS lat, -63 + k / 100 AS lon FROM ev) SELECT event_id, {ZONE.format(lat='lat', lon='lon')} AS timezone_id FROM p")
+def l05(spark, d):
+    p = views.events(spark, d).select("event_id", (44 + F.col("value") / 100).alias("lat"), (-63 + F.col("k") / 100).alias("lon"))
+    return enrichment.zones_by_box(p, _boxes(spark), "event_id").select("event_id", "timezone_id")
+
+
+@query(
+    "o09_fill_missing_zones",
+    f"WITH {EV}, {LOC}, p AS (SELECT *, CAST(split_part(packed, ' | ', 1) AS DOUBLE) AS lat, CAST(split_part(packed, ' | ', 2) AS DOUBLE) AS lon FROM loc) SELECT event_id AS _id, CASE WHEN own_zone = 'Unknown_Timezone' THEN {ZONE.format(lat='lat', lon='lon')} ELSE own_zone END AS timezone_id FROM p",
+)
+def o09(spark, d):
+    loc = views.location(spark, d).withColumn("timezone_id", F.nullif("timezone_id", F.lit("Unknown_Timezone")))
+    return enrichment.zones_where_missing(loc, _boxes(spark)).select("_id", "timezone_id")
+
+
+@query("l04_decoded_payload", f"WITH {EV}, {LOC} SELECT event_id AS _id, CASE WHEN event_id % 7 = 0 THEN 'None' WHEN event_id % 7 = 1 THEN NULL WHEN event_id % 7 = 2 THEN 'kept' ELSE packed END AS location_decrypted FROM loc")
+def l04(spark, d):
+    m = F.col("_id") % 7
+    flip = lambda raw: bytes(b ^ 90 for b in raw)  # noqa: E731  stands in for a cipher
+    sealed = enrichment.encoder(flip)(F.col("location_decrypted"))
+    df = views.location(spark, d).withColumn("payload", F.when(m == 0, "none").when(m == 1, "*not base64*").otherwise(sealed)).withColumn("location_decrypted", F.when(m == 2, "kept"))
+    return enrichment.decrypted_where_missing(df, "payload", "location_decrypted", enrichment.decoder(flip)).select("_id", "location_decrypted")
+
+
+@query("e10_run_starts", f"WITH {EV}, {LOC}, {SEG} SELECT participantid, CAST(run AS BIGINT) AS run, {STAMP.format('start_time')} AS start_time FROM zg")
+@query("f06_runs", f"WITH {EV}, {LOC}, {SEG} SELECT participantid, CAST(run AS BIGINT) AS run, {STAMP.format('start_time')} AS start_time FROM zg")
+def e10(spark, d):
+    s = segments(spark, d)
+    return s.select("participantid", F.row_number().over(Window.partitionBy("participantid").orderBy("start_time")).alias("run"), "start_time")
+
+
+@query("f07_next_start", f"WITH {EV}, {LOC}, {SEG} SELECT participantid, {STAMP.format('end_time')} AS end_time, end_time = TIMESTAMP '2100-01-01' AS open FROM seg")
+def f07(spark, d):
+    s = segments(spark, d)
+    return s.select("participantid", "end_time", (F.col("end_time") == F.to_timestamp(F.lit(intervals.FAR_FUTURE))).alias("open"))
+
+
+@query("f02_two_ahead", f"WITH {CALLS} SELECT event_id, v AS first, v2 AS second, v3 AS third FROM ca")
+def f02(spark, d):
+    w = sequences.by_time()
+    c = views.calls(spark, d)
+    c = c.withColumn("value0", F.when(F.lower("value0").contains("terminating"), "CALL_DISCONNECTED").otherwise(F.col("value0")))
+    return c.select("event_id", F.col("value0").alias("first"), F.lead("value0").over(w).alias("second"), F.lead("value0", 2).over(w).alias("third"))
+
+
+@query("j02_local_times", f"WITH {EV}, {SCREEN}, {LOC}, {SEG}, {zoned('screen', 'm')} SELECT event_id, {STAMP.format(LOCAL)} AS local FROM m")
+def j02(spark, d):
+    m = intervals.best_zone(views.screen(spark, d), segments(spark, d), "event_id")
+    return m.select("event_id", times.local_time(F.col("measuredat"), F.col("timezone_id")).alias("local"))
+
+
+@query("j12_local_minutes", f"WITH {NIGHT} SELECT strftime(d, '%Y-%m-%d') AS date_local, hour(lt) AS hour, count(*) AS n FROM sn GROUP BY 1, 2")
+def j12(spark, d):
+    return nights(spark, d).groupBy("date_local", F.hour("local_time").alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query("j13_unix_times", f"WITH {EV} SELECT event_id, {STAMP.format('ts')} AS ts FROM ev")
+def j13(spark, d):
+    e = views.events(spark, d).select("event_id", F.unix_timestamp("measuredat").alias("seconds"))
+    return e.select("event_id", times.any_timestamp("bigint", F.col("seconds")).alias("ts"))
+
+
+@query("l01_entropy_of_dwell", f"WITH {STEPS} SELECT strftime(d, '%Y-%m-%d') AS date_local, round(ln(sum(dwell)) - sum(dwell * ln(dwell)) / sum(dwell), 4) AS entropy FROM gs WHERE dwell > 0 GROUP BY d")
+def l01(spark, d):
+    s = mobility.steps(mobility.usable_points(views.location(spark, d))).where("time_spent_seconds > 0")
+    return s.groupBy("date_local").agg(mobility.dwell_entropy(F.col("time_spent_seconds")).alias("entropy"))
