@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import LETTER, NUMBER, SLICE_BYTES, SPACE, classes, code_points, flat, slices
+from .textcore import LETTER, NUMBER, SPACE, classes, code_points, flat, slices
 
 #: Bound of the sample that the chain is fitted on.
 TRAIN_DOCS = 2000
 ROUNDS = 150
+#: Bytes of text whose lines are measured at once; the arrays for it take about forty times as much.
+SLICE_BYTES = 1 << 20
 #: From this score on a document counts as good.
 GOOD = 0.7
 OWN = 14
@@ -207,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_own)], ["doc_id", "quality", "f"])
 
     # the sample has at most TRAIN_DOCS rows of two numbers, so it is broadcast
-    rows = docs.join(F.broadcast(taught), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, f array<float>").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(taught), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, f array<float>").collect()
     rows.sort(key=lambda r: (r.doc_id, len(r.f)))
     if len({r.quality for r in rows}) < 2:
         return None
