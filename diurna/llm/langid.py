@@ -9,8 +9,9 @@
 4. The text's language is the one whose spans hold most letters (ties: first in sorted order); the
    score is the share of the letters they hold, times how clearly the words of those spans prefer it.
 
-The tables are fitted on at most TRAIN_DOCS documents for each language, those with the smallest
-hashes of their doc_id, with whole texts; every text is predicted whole.
+The tables are fitted on at most TRAIN_DOCS documents for each of the MAX_LANGUAGES most frequent
+languages, those with the smallest hashes of their doc_id, with whole texts; every text is predicted
+whole.
 
 Defined cases: a null text and one without letters are `und` with score 0; words in a script that
 no language was learned with score alike for all languages; without any learned language every text
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .textcore import SLICE_BYTES, binary_array, code_points, flat, slices
+from .textcore import binary_array, code_points, flat, slices
 
 #: Bounds of the sample that is learned from.
 TRAIN_DOCS = 600
 MAX_LANGUAGES = 500
+#: Bytes of text that are predicted at once.
+SLICE_BYTES = 4 << 20
 TABLE = 1 << 18
 ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
@@ -189,6 +192,8 @@ def viterbi(scores: np.ndarray, places: np.ndarray, counts: np.ndarray, penalty:
 def train(docs: DataFrame) -> Model | None:
     """Learns from documents with a language that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).select("lang")
+    known = known.join(F.broadcast(common), "lang", "left_semi")
     ranked = known.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
     chosen = ranked.where(F.col("rank") <= TRAIN_DOCS).select("doc_id", "lang").distinct()
 
@@ -214,8 +219,6 @@ def train(docs: DataFrame) -> Model | None:
     names = sorted(set(rows.column("lang").to_pylist()))
     if not names:
         return None
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the tables hold {MAX_LANGUAGES}")
     counts = np.zeros((TABLE + len(NAMES), len(names)))
     which = np.searchsorted(names, rows.column("lang").to_pylist())
     counts[rows.column("number").to_numpy(), which] = rows.column("n").to_numpy()
