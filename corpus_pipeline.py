@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each applied to all that the one before kept.
 
-Rows that repeat a doc_id are one document to the near-duplicate stage. Its fingerprints are over
-shingles of five words, linked at three of 64 bits or fewer (a fingerprint similarity of 0.95).
+Rows that repeat a doc_id are one document to the near-duplicate stage. It makes four fingerprints
+of each text over shingles of five words and links texts that differ in four or fewer of 64 bits of
+any of them (a fingerprint similarity of 0.94).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from diurna.llm import bpe, decontam, pii, quality, simhash, store
 
-WORDS, RADIUS = 5, 3
+WORDS, RADIUS, TABLES = 5, 4, 4
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies."""
-    found = simhash.groups(docs, WORDS, RADIUS)
+    found = simhash.groups(docs, WORDS, RADIUS, TABLES)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     kept = docs.join(stays, docs.doc_id.eqNullSafe(F.col("_stays")), "left_semi")
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))

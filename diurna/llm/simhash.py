@@ -94,8 +94,18 @@ def votes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_slice(column: pa.Array, words: int) -> np.ndarray:
-    """SimHashes of texts over shingles of `words` words (a shorter text is one shingle)."""
+def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Hashes for another table, independent of those for the first: the finaliser of splitmix64."""
+    if not table:
+        return hashes
+    x = hashes + np.uint64(table * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint_slice(column: pa.Array, words: int, tables: int = 1) -> list[np.ndarray]:
+    """SimHashes of texts, for each table, over shingles of `words` words (a shorter text is one shingle)."""
     buffer, begins, ends, counts = normalised(*flat(column))
     first = np.cumsum(counts) - counts
     shingles = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
@@ -103,19 +113,24 @@ def fingerprint_slice(column: pa.Array, words: int) -> np.ndarray:
     stop = np.minimum(start + words, np.repeat(first + counts, shingles)) - 1
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(buffer[a:b], 42) for a, b in zip(begins[start].tolist(), ends[stop].tolist(), strict=True)), np.uint64, len(start))
-    return votes(hashes, shingles)
+    return [votes(mixed(hashes, t), shingles) for t in range(tables)]
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp long) for every row of docs(doc_id, text)."""
+def columns_of(tables: int) -> list[str]:
+    return ["fp", *(f"fp{t}" for t in range(1, tables))]
+
+
+def fingerprints(docs: DataFrame, words: int, tables: int = 1) -> DataFrame:
+    """(doc_id, fp long, and fp1 ... for further tables) for every row of docs(doc_id, text)."""
+    names = columns_of(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                fp = fingerprint_slice(part.column("text"), words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                found = fingerprint_slice(part.column("text"), words, tables)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(fp.view(np.int64)) for fp in found)], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def distance(a: np.ndarray, b: np.uint64) -> np.ndarray:
@@ -241,16 +256,27 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def groups(docs: DataFrame, words: int, radius: int) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs(doc_id, text)."""
-    marked = written(fingerprints(docs, words))
-    least = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(least.select("fp"), radius))
-    # (fp, root fp), then the smallest doc_id of each root
-    rooted = least.join(found, least.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def groups(docs: DataFrame, words: int, radius: int, tables: int = 1) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs(doc_id, text).
+
+    Two documents link if their fingerprints of any table are within the radius. Each table hashes
+    the shingles anew, so near copies that one table misses are met by another.
+    """
+    names = columns_of(tables)
+    marked = written(fingerprints(docs, words, tables))
+    least = written(marked.groupBy(*names).agg(F.min("doc_id").alias("least")))
+    # a node is a fingerprint, told apart by its table
+    node = lambda c, t: F.col(c).bitwiseXOR(F.lit(t * 0x2545F4914F6CDD1D % (1 << 63))) if t else F.col(c)
+    edges = links(least.select("fp").distinct() if tables > 1 else least.select("fp"), radius)
+    for t in range(1, tables):
+        found = links(least.select(F.col(f"fp{t}").alias("fp")).distinct(), radius)
+        edges = edges.unionByName(found.select(node("a", t).alias("a"), node("b", t).alias("b"))).unionByName(least.select(F.col("fp").alias("a"), node(f"fp{t}", t).alias("b")))
+    found = components(edges)
+    # (fp, root), then the smallest doc_id of each root
+    rooted = least.groupBy("fp").agg(F.min("least").alias("least")).join(found, F.col("fp") == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(best, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp")
+    return marked.select("doc_id", "fp").join(by_fp, "fp")
 
 
 def op8_simhash_groups(spark, sf_dir: str) -> DataFrame:
