@@ -116,4 +116,21 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Passages of `benchmark` in every text of `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
+    return matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "item_id", "first_word", "n_words", "similarity")
+
+
+_SQL_WORD = WORD.replace(r"\u2000-\u206F\u3000-\u303F", r"\x{2000}-\x{206F}\x{3000}-\x{303F}")
+#: The same rows in SQL, by all windows of texts that share a shingle with an item; for items of a shingle or more.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_SQL_WORD}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{_SQL_WORD}') AS w FROM benchmark),
+ds AS (SELECT doc_id, p, array_to_string(list_slice(w, p + 1, p + {WORDS}), ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - {WORDS - 1})) AS p FROM d WHERE len(w) >= {WORDS})),
+sh AS (SELECT item_id, len(w) AS n, array_to_string(list_slice(w, p + 1, p + {WORDS}), ' ') AS g FROM (SELECT item_id, w, unnest(range(len(w) - {WORDS - 1})) AS p FROM i WHERE len(w) >= {WORDS})),
+ic AS (SELECT item_id, n, g, count(*) AS c FROM sh GROUP BY 1, 2, 3),
+pair AS (SELECT DISTINCT doc_id, item_id, n FROM ds JOIN ic USING (g)),
+win AS (SELECT doc_id, item_id, n, least(n, len(w)) AS m, unnest(range(greatest(len(w) - n, 0) + 1)) AS s FROM pair JOIN d USING (doc_id)),
+got AS (SELECT x.doc_id, x.item_id, x.n, x.m, x.s, ds.g, count(*) AS c FROM win x JOIN ds ON ds.doc_id = x.doc_id AND ds.p BETWEEN x.s AND x.s + x.m - {WORDS} GROUP BY ALL),
+both_ AS (SELECT doc_id, item_id, n, m, s, sum(least(got.c, ic.c)) AS b FROM got JOIN ic USING (item_id, n, g) GROUP BY 1, 2, 3, 4, 5),
+sim AS (SELECT *, b / ((m - {WORDS - 1}) + (n - {WORDS - 1}) - b) AS similarity FROM both_)
+SELECT doc_id, item_id, CAST(arg_min(s, (-similarity, s)) AS BIGINT) AS first_word, CAST(any_value(n) AS BIGINT) AS n_words, CAST(max(similarity) AS DOUBLE) AS similarity FROM sim WHERE similarity >= {SIMILARITY} GROUP BY 1, 2
+"""

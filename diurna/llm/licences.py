@@ -136,3 +136,27 @@ def summary(spans: DataFrame) -> DataFrame:
 def op9_licences(spark, sf_dir: str) -> DataFrame:
     """Licence phrases and passages in every text of `documents`."""
     return summary(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _rows(listed: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v) for v in row) + ")" for row in listed)
+
+
+#: The same rows in SQL.
+ORACLE = f"""
+WITH t AS (SELECT *, string_split(txt, ' ') AS tw FROM (VALUES {_rows([(i, t, lab, i < len(PHRASES)) for i, (t, lab) in enumerate((*PHRASES, *PASSAGES))])}) AS v(id, txt, label, exact)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+tp AS (SELECT id, label, exact, len(tw) AS l, unnest(range(len(tw))) AS o, tw FROM t),
+dp AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d),
+hit AS (SELECT doc_id, id, label, exact, l, p - o AS diag FROM (SELECT doc_id, p, list_slice(w, p + 1, p + 2) AS g FROM dp WHERE p + 2 <= len(w)) JOIN (SELECT *, list_slice(tw, o + 1, o + 2) AS g FROM tp WHERE exact AND o + 2 <= l) USING (g)
+  UNION ALL SELECT doc_id, id, label, exact, l, p - o FROM (SELECT doc_id, p, list_slice(w, p + 1, p + 4) AS g FROM dp WHERE p + 4 <= len(w)) JOIN (SELECT *, list_slice(tw, o + 1, o + 4) AS g FROM tp WHERE NOT exact AND o + 4 <= l) USING (g)),
+vote AS (SELECT doc_id, id, label, exact, l, diag, count(*) AS votes FROM hit GROUP BY ALL),
+mark AS (SELECT *, CASE WHEN exact OR lag(diag) OVER (PARTITION BY doc_id, id ORDER BY diag) IS NULL OR diag - lag(diag) OVER (PARTITION BY doc_id, id ORDER BY diag) > {GAP} THEN 1 ELSE 0 END AS fresh FROM vote),
+span AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, id ORDER BY diag) AS s FROM mark),
+place AS (SELECT x.doc_id, x.id, x.s, count(DISTINCT tp.o) AS matched FROM span x JOIN tp ON tp.id = x.id JOIN d ON d.doc_id = x.doc_id WHERE x.diag + tp.o >= 0 AND d.w[x.diag + tp.o + 1] = tp.tw[tp.o + 1] GROUP BY 1, 2, 3),
+spans AS (SELECT doc_id, id, label, exact, l, s, min(diag) AS low, sum(votes) AS votes FROM span GROUP BY 1, 2, 3, 4, 5, 6),
+good AS (SELECT *, matched / l AS cover FROM spans JOIN place USING (doc_id, id, s) WHERE CASE WHEN exact THEN matched = l ELSE matched / l >= {COVER} AND votes >= {VOTES} * (l - {LONG - 1}) END)
+SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, count(*) FILTER (exact) AS n_base, CAST(min(low) FILTER (exact) AS BIGINT) AS first_word, CAST(max(low) FILTER (exact) AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (exact)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS labels, coalesce(max(cover), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN good g ON g.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_decontaminate": decontam.ORACLE,
     "op6_url_filter": urls.ORACLE,
+    "op9_licences": licences.ORACLE,
 }
