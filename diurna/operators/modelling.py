@@ -165,6 +165,27 @@ def importances(spark, model, columns: list[str]) -> DataFrame:
     return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, values, strict=True)], "feature string, importance double")
 
 
+def two_stage_forest(train: DataFrame, columns: list[str], forest: RandomForestClassifier, k: int = 3, share: float = 0.9, least: int = 10, label: str = "outcome", by: str = "device_type"):
+    """(model, features): importances averaged over inner folds, their elbow, and a forest on those features alone."""
+    spark = train.sparkSession
+    index = indexed(train, label)
+    rows = folds(index.transform(with_weights(train, label)), [label, by], k, seed=3).cache()
+    kept = None
+    for i in range(k):
+        found = importances(spark, forest.fit(assembled(rows.where(F.col("fold") != i), columns)), columns)
+        kept = found if kept is None else kept.unionByName(found)
+    chosen = [r.feature for r in elbow(average_importance(kept, k), share, least).orderBy("place").collect()]
+    return forest.fit(assembled(rows, chosen)), chosen
+
+
+def best_strength(train: DataFrame, columns: list[str], alpha: float, path: list[float], k: int = 10, label: str = "outcome", by: str = "device_type") -> float:
+    """The penalty of the path with the least mean error over folds of the training rows."""
+    rows = folds(assembled(indexed(train, label).transform(with_weights(train, label)), columns), [label, by], k, seed=4).cache()
+    error = lambda model, test: model.transform(test).agg(F.avg((F.col("label") != F.col("prediction")).cast("double"))).first()[0]
+    mean = {s: np.mean([error(elastic_net(alpha, s).fit(rows.where(F.col("fold") != i)), rows.where(F.col("fold") == i)) or 0.0 for i in range(k)]) for s in path}
+    return min(path, key=lambda s: mean[s])
+
+
 def predicted(model, test: DataFrame, labels: list[str]) -> DataFrame:
     names = F.array(*map(F.lit, labels))
     return model.transform(test).select("*", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))

@@ -236,3 +236,26 @@ def _validated(spark, d, estimator):
 query("n08_elastic_net")(lambda spark, d: _validated(spark, d, ("elastic net", modelling.elastic_net(0.5, 0.01))))
 query("n09_random_forest")(lambda spark, d: _validated(spark, d, ("forest", modelling.random_forest(20, "sqrt"))))
 query("n11_boosting")(lambda spark, d: _validated(spark, d, ("boosting", modelling.boosted(0.1, 3, 5))))
+
+
+@query("n03_fold_preparation")
+def n03(spark, d):
+    m, columns = _matrix(spark, d)
+    parts = modelling.folds(m, ["outcome", "device_type"], 2, seed=1)
+    ready = modelling.prepare(parts.where("fold = 0").drop("fold"), parts.where("fold = 1").drop("fold"), columns)
+    return ready.test.select("participantid", *ready.columns)
+
+
+@query("n10_two_stage_forest")
+def n10(spark, d):
+    m, columns = _matrix(spark, d)
+    ready = modelling.prepare(m, m, columns)
+    _, chosen = modelling.two_stage_forest(ready.train, ready.columns, modelling.random_forest(10, "onethird"), 2, least=5)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "place long, feature string")
+
+
+@query("h07_feature_overlap", f"WITH {EV}, {SETS} SELECT member FROM sets GROUP BY 1 HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM sets)")
+def h07(spark, d):
+    s = _sets(spark, d)
+    n = s.agg(F.count_distinct("name").alias("n"))
+    return s.groupBy("member").agg(F.count_distinct("name").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("member")

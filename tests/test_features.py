@@ -154,3 +154,25 @@ def test_huber_and_folds(spark):
     assert math.isclose(w["x"] + w["y"], 2.0) and math.isclose(w["y"] / w["x"], 2.0)
     up = modelling.upsampled(df, ["outcome"])
     assert {r.outcome: r["count"] for r in up.groupBy("outcome").count().collect()} == {"x": 40, "y": 40}
+
+
+def matrix(spark, n=80):
+    rng = np.random.default_rng(4)
+    rows = [(str(i), "ios" if i % 2 else "android", "high" if i % 4 < 2 else "low", float(i % 4 < 2) * 3 + rng.normal(), rng.normal(), rng.normal()) for i in range(n)]
+    return spark.createDataFrame(rows, "participantid string, device_type string, outcome string, a double, b double, c double")
+
+
+def test_models_learn_and_leak_nothing(spark):
+    m = matrix(spark)
+    out = modelling.cross_validated(m, ["a", "b", "c"], [("net", modelling.elastic_net(0.5, 0.01))], k=2, top=(2,))
+    assert out.count() == 80 and modelling.evaluation(out).first().accuracy > 0.75
+    ready = modelling.prepare(m.where("cast(participantid as int) < 40"), m.where("cast(participantid as int) >= 40").withColumn("a", F.col("a") * 1000), ["a", "b", "c"])
+    assert ready.test.agg(F.max(F.abs("a"))).first()[0] == 3.0 and ready.train.agg(F.max(F.abs("a"))).first()[0] <= 3.0
+
+
+def test_two_stage_forest_and_strength(spark):
+    ready = modelling.prepare(matrix(spark), matrix(spark), ["a", "b", "c"])
+    _, chosen = modelling.two_stage_forest(ready.train, ready.columns, modelling.random_forest(5, "sqrt"), 2, 0.5, 1)
+    assert chosen[0] == "a"
+    path = modelling.strengths(1.0, 3)
+    assert len(path) == 3 and modelling.best_strength(ready.train, ready.columns, 0.5, path, 2) in path
