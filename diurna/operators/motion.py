@@ -29,7 +29,8 @@ def numeric(value: Column) -> Column:
 def accelerometer_points(points: DataFrame, segments: DataFrame, in_ms2: bool = False) -> DataFrame:
     """Norm, distance from the point before, and activity flags of plausible points, with times."""
     points = plausible_axes(to_g(points) if in_ms2 else points)
-    points = best_zone(points, segments, "_id").dropDuplicates(["_id"])
+    # dealt by participant once; the zone, copies and differences are all found within a participant
+    points = best_zone(points.repartition("participantid"), segments, "_id").dropDuplicates(["participantid", "_id"])
     before = Window.partitionBy("participantid").orderBy("measuredat", "_id")
     points = points.withColumns({f"_d_{a}": F.col(a) - F.lag(a).over(before) for a in AXES})
     size, step = norm(tuple(map(F.col, AXES))), norm(tuple(F.col(f"_d_{a}") for a in AXES))

@@ -1,7 +1,8 @@
 """Sessions and calls from sequences of events of one participant.
 
 Ties in time are ordered by the label, so that results do not depend on how rows arrive. A filter
-after lead() must stay after it, as it changes who is next to whom.
+after lead() must stay after it, as it changes who is next to whom. Events are dealt by participant before
+copies are dropped, so that all later steps of a participant need no further shuffle.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def pairs(events: DataFrame, first: str = "unlocked", second: str = "locked", li
 
 def screen_sessions_android(power: DataFrame, segments: DataFrame, compat: bool = False) -> DataFrame:
     """Sessions from screen states: labels made alike, copies dropped, pairs found, local times added."""
-    events = power.select("participantid", "measuredat", screen_label(F.col("value0")).alias("value0")).dropDuplicates()
+    events = power.select("participantid", "measuredat", screen_label(F.col("value0")).alias("value0")).repartition("participantid").dropDuplicates()
     found = best_zone(pairs(events), segments).dropDuplicates(["participantid", "measuredat", "next_measuredat"])
     return event_times(found, compat)
 
@@ -42,7 +43,7 @@ def screen_sessions_ios(lock: DataFrame, analytics: DataFrame | None, segments:
     events = lock.select("participantid", "measuredat", F.lower("value0").alias("value0"))
     if analytics is not None:
         events = events.unionByName(terminations(analytics.select(columns)))
-    found = best_zone(pairs(events.dropDuplicates()), segments).dropDuplicates(["participantid", "measuredat", "next_measuredat"])
+    found = best_zone(pairs(events.repartition("participantid").dropDuplicates()), segments).dropDuplicates(["participantid", "measuredat", "next_measuredat"])
     return event_times(found, compat)
 
 
@@ -80,6 +81,6 @@ def calls_ios(calls: DataFrame, analytics: DataFrame | None, segments: DataFrame
     events = calls.select(columns)
     if analytics is not None:
         events = events.unionByName(terminations(analytics.select(columns), "CALL_DISCONNECTED"))
-    found = call_sequences(best_zone(events.dropDuplicates(columns), segments))
+    found = call_sequences(best_zone(events.repartition("participantid").dropDuplicates(columns), segments))
     valid = found.where("kind = 'call'").select("participantid", F.col("call_start").alias("measuredat"), F.col("call_end").alias("next_measuredat"), "timezone_id", "call_type", "call_duration_in_secs")
     return event_times(valid, compat), found.where("kind = 'anomaly'").drop("kind")

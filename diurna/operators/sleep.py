@@ -17,7 +17,7 @@ WINDOW_MINUTES = (24 - T.night_from_hour + T.night_to_hour) * 60
 
 def night_events(events: DataFrame, segments: DataFrame) -> DataFrame:
     """on/off events between 22 and 8 o'clock local time with the date on which the night began."""
-    known = best_zone(events.select("participantid", "measuredat", "event_type").distinct(), segments)
+    known = best_zone(events.select("participantid", "measuredat", "event_type").repartition("participantid").distinct(), segments)
     known = known.withColumn("local_time", local_time(F.col("measuredat"), F.col("timezone_id")))
     hour = F.hour("local_time")
     return known.where((hour >= T.night_from_hour) | (hour < T.night_to_hour)).withColumn("date_local", night_date(F.col("local_time")))
@@ -26,7 +26,7 @@ def night_events(events: DataFrame, segments: DataFrame) -> DataFrame:
 def screen_states(android: DataFrame | None, ios: DataFrame | None) -> DataFrame:
     frames = [df.select("participantid", "measuredat", on_off(F.col("value0")).alias("event_type")) for df in (android, ios) if df is not None]
     out = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    return out.distinct()
+    return out.repartition("participantid").distinct()
 
 
 def nightly(events: DataFrame) -> DataFrame:
