@@ -36,6 +36,7 @@ from .textcore import binary_array, code_points, flat, slices
 #: Bounds of the sample that is learned from.
 TRAIN_DOCS = 600
 MAX_LANGUAGES = 500
+SALTS = 256
 #: Bytes of text that are predicted at once.
 SLICE_BYTES = 4 << 20
 TABLE = 1 << 18
@@ -194,8 +195,13 @@ def train(docs: DataFrame) -> Model | None:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).select("lang")
     known = known.join(F.broadcast(common), "lang", "left_semi")
-    ranked = known.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
-    chosen = ranked.where(F.col("rank") <= TRAIN_DOCS).select("doc_id", "lang").distinct()
+    # ranked within salted parts of a language first, so that a frequent one is not ranked in one task
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))
+    chosen = known.select("doc_id", "lang", salt.alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= TRAIN_DOCS).drop("rank")
+    chosen = chosen.select("doc_id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
