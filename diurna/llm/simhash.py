@@ -18,6 +18,7 @@ component is the smallest doc_id of its group, or null if there is none; extra c
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ from .textcore import SLICE_BYTES, flat, slices
 
 #: Fingerprints that the routing tree is fitted on; it decides where work is done, not the result.
 TREE_SAMPLE = 16_384
-#: Fingerprints that a shard should own.
-SHARD_ROWS = 40_000
+#: Fingerprints that a shard should own. Each level of the routing tree copies what lies at its
+#: boundary, so shards are as large as a task can search in seconds.
+SHARD_ROWS = 120_000
 #: A local tree stops splitting here and compares all with all.
 LEAF_ROWS = 512
 
@@ -211,27 +213,38 @@ def forest(points: np.ndarray, mine: np.ndarray, radius: int) -> tuple[np.ndarra
     return moved, root[moved]
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
-    """Spanning edges (a, b) of the links between distinct fingerprints `fp` at most `radius` bits apart."""
+def routing_tree(fps: DataFrame) -> list:
+    """A tree over a sample of the fingerprints whose leaves own about SHARD_ROWS of them all."""
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()], np.int64).view(np.uint64)
-    rows = fps.count()
-    depth_rows = max(8, int(len(sample) * SHARD_ROWS / max(rows, 1)))
-    tree = grow(np.sort(sample), depth_rows, np.random.default_rng(7))
+    leaf = max(8, int(len(sample) * SHARD_ROWS / max(fps.count(), 1)))
+    return grow(np.sort(sample), leaf, np.random.default_rng(7))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, at, mine in route(tree, points, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int64)), pa.array(points[at].view(np.int64)), pa.array(mine)], ["shard", "fp", "mine"])
+
+def links(tables: list[DataFrame], radius: int) -> DataFrame:
+    """(t, a, b): for each table of distinct fingerprints `fp`, by its place, spanning edges of its links within the radius.
+
+    The shards of all tables are searched side by side.
+    """
+
+    def deal(t: int, tree: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                points = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+                for shard, at, mine in route(tree, points, radius):
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.full(n, shard, np.int64)), pa.array(points[at].view(np.int64)), pa.array(mine)], ["t", "shard", "fp", "mine"])
+
+        return run
 
     def search(table: pa.Table) -> pa.Table:
         points = table.column("fp").to_numpy().view(np.uint64)
         order = np.argsort(points)
         points, mine = points[order], table.column("mine").to_numpy(zero_copy_only=False)[order]
         a, b = forest(points, mine, radius)
-        return pa.table({"a": points[a].view(np.int64), "b": points[b].view(np.int64)})
+        return pa.table({"t": pa.array(np.full(len(a), table.column("t")[0].as_py()), pa.int32()), "a": points[a].view(np.int64), "b": points[b].view(np.int64)})
 
-    return fps.mapInArrow(deal, "shard long, fp long, mine boolean").groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt = [fps.select("fp").mapInArrow(deal(t, routing_tree(fps)), "t int, shard long, fp long, mine boolean") for t, fps in enumerate(tables)]
+    return functools.reduce(DataFrame.unionByName, dealt).groupBy("t", "shard").applyInArrow(search, "t int, a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,12 +278,17 @@ def groups(docs: DataFrame, words: int, radius: int, tables: int = 1) -> DataFra
     names = columns_of(tables)
     marked = written(fingerprints(docs, words, tables))
     least = written(marked.groupBy(*names).agg(F.min("doc_id").alias("least")))
+    own = [least.groupBy(F.col(c).alias("fp")).agg(F.count("*").alias("n")) for c in names]
+    found = written(links(own, radius))
+    edges = found.where("t = 0").select("a", "b")
     # a node is a fingerprint, told apart by its table
-    node = lambda c, t: F.col(c).bitwiseXOR(F.lit(t * 0x2545F4914F6CDD1D % (1 << 63))) if t else F.col(c)
-    edges = links(least.select("fp").distinct() if tables > 1 else least.select("fp"), radius)
+    node = lambda c, t: F.col(c).bitwiseXOR(F.lit(t * 0x2545F4914F6CDD1D % (1 << 63)))
     for t in range(1, tables):
-        found = links(least.select(F.col(f"fp{t}").alias("fp")).distinct(), radius)
-        edges = edges.unionByName(found.select(node("a", t).alias("a"), node("b", t).alias("b"))).unionByName(least.select(F.col("fp").alias("a"), node(f"fp{t}", t).alias("b")))
+        linked = found.where(F.col("t") == t)
+        # only fingerprints that are shared or linked in this table tie anything together
+        ties = linked.select(F.col("a").alias("x")).unionByName(linked.select(F.col("b").alias("x"))).unionByName(own[t].where("n > 1").select(F.col("fp").alias("x"))).distinct()
+        members = least.join(ties, F.col(f"fp{t}") == F.col("x"), "left_semi").select(F.col("fp").alias("a"), node(f"fp{t}", t).alias("b"))
+        edges = edges.unionByName(linked.select(node("a", t).alias("a"), node("b", t).alias("b"))).unionByName(members)
     found = components(edges)
     # (fp, root), then the smallest doc_id of each root
     rooted = least.groupBy("fp").agg(F.min("least").alias("least")).join(found, F.col("fp") == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

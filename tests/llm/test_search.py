@@ -73,7 +73,7 @@ def test_trees_lose_no_link(spark, monkeypatch, radius):
         points.append(points[-1] ^ flips)
     points = np.unique(np.concatenate(points))
     df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
-    found = {r.node: r.root for r in simhash.components(simhash.links(df, radius)).collect()}
+    found = {r.node: r.root for r in simhash.components(simhash.links([df], radius).select("a", "b")).collect()}
     near = np.bitwise_count(points[:, None] ^ points[None]) <= radius
     root = simhash.roots(len(points), *np.nonzero(near))
     groups = {}
