@@ -1,8 +1,9 @@
 """From raw documents to token ids: five stages, each applied to all that the one before kept.
 
-Rows that repeat a doc_id are one document to the near-duplicate stage. It makes four fingerprints
-of each text over shingles of five words and links texts that differ in four or fewer of 64 bits of
-any of them (a fingerprint similarity of 0.94).
+Rows that repeat a doc_id are one document to the near-duplicate stage. It links texts whose sets of
+shingles of five words have a Jaccard similarity of 0.8 or more. Candidates are texts of which any of
+four fingerprints differ in four or fewer of 64 bits, and texts that share a MinHash band; each is
+verified (`diurna/llm/copies.py`).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from diurna.llm import bpe, decontam, pii, quality, simhash, store
+from diurna.llm import bpe, copies, decontam, pii, quality, store
 
 WORDS, RADIUS, TABLES = 5, 4, 4
 
@@ -23,8 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies."""
-    found = simhash.groups(docs, WORDS, RADIUS, TABLES)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    found = copies.groups(docs, WORDS, RADIUS, TABLES)
+    stays = found.groupBy("root").agg(F.min("doc_id").alias("_stays")).select("_stays").distinct()
     kept = docs.join(stays, docs.doc_id.eqNullSafe(F.col("_stays")), "left_semi")
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
     return kept.withColumn("_row", row).where("_row = 1").select(*docs.columns)

@@ -106,8 +106,8 @@ def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint_slice(column: pa.Array, words: int, tables: int = 1) -> list[np.ndarray]:
-    """SimHashes of texts, for each table, over shingles of `words` words (a shorter text is one shingle)."""
+def shingle_hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, Iterator[bytes]]:
+    """Hashes of all shingles of `words` words (a shorter text is one), how many each text has, and its words."""
     buffer, begins, ends, counts = normalised(*flat(column))
     first = np.cumsum(counts) - counts
     shingles = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
@@ -115,6 +115,12 @@ def fingerprint_slice(column: pa.Array, words: int, tables: int = 1) -> list[np.
     stop = np.minimum(start + words, np.repeat(first + counts, shingles)) - 1
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(buffer[a:b], 42) for a, b in zip(begins[start].tolist(), ends[stop].tolist(), strict=True)), np.uint64, len(start))
+    return hashes, shingles, (buffer[begins[f] : ends[f + n - 1]] if n else b"" for f, n in zip(first.tolist(), counts.tolist(), strict=True))
+
+
+def fingerprint_slice(column: pa.Array, words: int, tables: int = 1) -> list[np.ndarray]:
+    """SimHashes of texts, for each table, over shingles of `words` words (a shorter text is one shingle)."""
+    hashes, shingles, _ = shingle_hashes(column, words)
     return [votes(mixed(hashes, t), shingles) for t in range(tables)]
 
 
@@ -269,27 +275,32 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def groups(docs: DataFrame, words: int, radius: int, tables: int = 1) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs(doc_id, text).
-
-    Two documents link if their fingerprints of any table are within the radius. Each table hashes
-    the shingles anew, so near copies that one table misses are met by another.
-    """
-    names = columns_of(tables)
-    marked = written(fingerprints(docs, words, tables))
-    least = written(marked.groupBy(*names).agg(F.min("doc_id").alias("least")))
+def linked(least: DataFrame, names: list[str], radius: int) -> DataFrame:
+    """(node, root) for every fingerprint of the first column of `names` that links of any of them tie to another."""
     own = [least.groupBy(F.col(c).alias("fp")).agg(F.count("*").alias("n")) for c in names]
     found = written(links(own, radius))
     edges = found.where("t = 0").select("a", "b")
     # a node is a fingerprint, told apart by its table
     node = lambda c, t: F.col(c).bitwiseXOR(F.lit(t * 0x2545F4914F6CDD1D % (1 << 63)))
-    for t in range(1, tables):
+    for t in range(1, len(names)):
         linked = found.where(F.col("t") == t)
         # only fingerprints that are shared or linked in this table tie anything together
         ties = linked.select(F.col("a").alias("x")).unionByName(linked.select(F.col("b").alias("x"))).unionByName(own[t].where("n > 1").select(F.col("fp").alias("x"))).distinct()
         members = least.join(ties, F.col(f"fp{t}") == F.col("x"), "left_semi").select(F.col("fp").alias("a"), node(f"fp{t}", t).alias("b"))
         edges = edges.unionByName(linked.select(node("a", t).alias("a"), node("b", t).alias("b"))).unionByName(members)
-    found = components(edges)
+    return components(edges)
+
+
+def groups(docs: DataFrame, words: int, radius: int, tables: int = 1) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs(doc_id, text).
+
+    Two documents link if their fingerprints of any table are within the radius. Each table hashes
+    the shingles anew, so near copies that one table misses are met by another.
+    """
+    names = columns_of(tables)
+    marked = written(fingerprints(docs, words, tables))
+    least = written(marked.groupBy(*names).agg(F.min("doc_id").alias("least")))
+    found = linked(least, names, radius)
     # (fp, root), then the smallest doc_id of each root
     rooted = least.groupBy("fp").agg(F.min("least").alias("least")).join(found, F.col("fp") == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
