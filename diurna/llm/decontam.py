@@ -2,16 +2,16 @@
 
 1. Every text and every benchmark item becomes its words and the hashes of its shingles of WORDS
    words. An item of n words is compared with windows of n words of the texts.
-2. Only windows that share a shingle with an item of their size can be similar to it. So the rolling
-   shingle hashes of all texts are joined to the items' shingles, and each hit places one window,
-   with the shingle at its place in the item. No other window can pass the check in 4.
+2. Only windows that hold enough shingles of items of their size can be similar to one. So the rolling
+   shingle hashes of all texts are joined to the items' shingles, and every start whose window has
+   that many hits, in whatever order, gets a window. No other window can pass the check in 4.
 3. Windows and items get 64-bit SimHashes. Fingerprints within RADIUS bits agree in at least one of
    RADIUS + 1 blocks, so a join on size, block number and block value finds all of them.
 4. Candidates are verified exactly: the weighted Jaccard similarity of the two bags of shingles
    (least over greatest number of times, summed) must reach SIMILARITY.
 
 Items are few, so their tables are broadcast if they are counted to be small; otherwise they are
-shuffled. Texts are not shuffled. RADIUS is so wide that a pair at the similarity is beyond it with
+shuffled. So are the starts; texts are shuffled only if there are too many starts to broadcast. RADIUS is so wide that a pair at the similarity is beyond it with
 a chance of about one in two thousand (64 bits, 27 degrees).
 
 Defined cases: null and empty texts and items without words take no part; an item with fewer words
@@ -67,12 +67,30 @@ def similarity(a: Column, b: Column) -> Column:
     return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 
+def starts(places: Column, n: Column, length: Column) -> Column:
+    """First words of all windows of n words that hold as many of the places as the similarity needs.
+
+    The k-th places from each on span the starts between them; each place adds those behind the one before.
+    """
+    inside = F.greatest(F.least(n, length) - (WORDS - 1), F.lit(1))
+    need = F.ceil((inside + F.greatest(n - (WORDS - 1), F.lit(1))) * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-6)).cast("int")
+    last = F.greatest(length - n, F.lit(0))
+
+    def of(p: Column, j: Column) -> Column:
+        before = F.when(j > 0, F.get(places, j - 1)).otherwise(F.lit(-1))
+        low = F.greatest(F.get(places, j + need - 1) - inside + 1, before + 1, F.lit(0))
+        high = F.least(p, last)
+        return F.when(F.get(places, j + need - 1).isNotNull() & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(places, of))
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, first_word, n_words, distance, similarity): the best window of each text for each item."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
     # what others build on is written once, as Spark would repeat such expressions wherever they are used
     items = written(items.where(F.size("words") > 0).select("item_id", F.size("words").alias("n"), shingles(F.col("words")).alias("bag")))
-    places = items.select("n", F.posexplode_outer("bag").alias("offset", "hash")).distinct()
+    places = items.select("n", F.explode_outer("bag").alias("hash")).distinct()
     n_places = items.agg(F.sum(F.size("bag"))).first()[0] or 0
     # short items are whole windows of their own few words
     short = [r.n for r in items.where(F.col("n") < WORDS).select("n").distinct().collect()]
@@ -82,12 +100,18 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     whole = lambda n: F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(own, i + 1, n)).alias("hash")))
     none = F.array().cast("array<struct<at:int,hash:bigint>>")
     guarded = [F.transform(shingles(own), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), *(F.when(F.size(own) >= n, whole(n)).otherwise(none) for n in short)]
-    runs = texts.select("doc_id", "text_hash", "own", reduce(F.concat, guarded).alias("runs")).select("doc_id", "text_hash", "own", F.explode_outer("runs").alias("r")).select("doc_id", "text_hash", "own", "r.at", "r.hash")
+    runs = texts.select("doc_id", "text_hash", F.size("own").alias("length"), reduce(F.concat, guarded).alias("runs")).select("doc_id", "text_hash", "length", F.explode_outer("runs").alias("r")).select("doc_id", "text_hash", "length", "r.at", "r.hash")
 
     hit = runs.join(small(places, n_places), "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("own") - F.col("n")))
-    hit = hit.select("doc_id", "text_hash", "n", start.alias("first_word"), F.slice("own", start + 1, F.col("n")).alias("words"))
-    windows = hit.groupBy("doc_id", "text_hash", "n", "first_word").agg(F.first("words").alias("words"))
+    dense = hit.groupBy("doc_id", "text_hash", "n").agg(F.array_sort(F.collect_set("at")).alias("places"), F.first("length").alias("length"))
+    dense = dense.select("doc_id", "text_hash", "n", starts(F.col("places"), F.col("n"), F.col("length")).alias("starts"))
+    dense = written(dense.where(F.size("starts") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), "n", "starts"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    n_dense = dense.agg(F.sum(F.size("starts"))).first()[0] or 0
+    held = ids.join(small(dense, n_dense), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")))
+    held = written(held.select("doc_id", "text_hash", "n", "starts", words_of(F.col("text")).alias("own")))
+    cut = F.transform("starts", lambda s: F.struct(s.alias("first_word"), F.slice("own", s + 1, F.col("n")).alias("words")))
+    windows = held.select("doc_id", "text_hash", "n", F.inline_outer(cut)).dropDuplicates(["doc_id", "text_hash", "n", "first_word"])
     windows = written(windows.select("doc_id", "text_hash", "n", "first_word", shingles(F.col("words")).alias("bag")))
 
     prints = written(items.select("item_id", "n", F.col("bag").alias("item_bag"), simhash(F.col("bag")).alias("item_fp")))

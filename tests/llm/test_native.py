@@ -54,6 +54,18 @@ def test_contamination(spark, odd, nothing):
     assert decontam.clean(odd, i).columns == odd.columns
 
 
+def test_reordered_passages_inside_longer_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    around = lambda w: " ".join([f"a{i}" for i in range(25)] + w + [f"z{i}" for i in range(25)])
+    docs = [(1, around(words[30:] + words[:30])), (2, around(words[20:] + words[:20])), (3, around(words[20:40] + words[:20])), (4, around(words[7:] + words[:7]) * 2), (5, around(words[15:30] + words[:15] + words[45:] + words[30:45]))]
+    docs += [(None, docs[0][1]), (6, " ".join(words[10:] + words[:5])), (7, around(words[:31] + ["x"] + words[31:]))]
+    items = [(1, " ".join(words)), (2, " ".join(words[:40])), (3, " ".join(words[:9] * 4))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = brute(docs, items)
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word) for r in decontam.matches(d, i).collect()}
+    assert got == {k: (round(s, 9), at) for k, (s, at) in expected.items()} and {(1, 1), (2, 1), (3, 2)} <= set(got)
+
+
 def test_decontamination_of_the_tables(spark):
     con = duckdb.connect()
     docs = con.execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE n_chars < 3000").fetchall()
