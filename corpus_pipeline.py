@@ -1,6 +1,6 @@
 """From raw documents to token ids: five stages, each applied to all that the one before kept.
 
-Rows that repeat a doc_id are one document to the near-duplicate stage. It links texts whose sets of
+To the near-duplicate stage every row is a document, whatever its doc_id. It links texts whose sets of
 shingles of five words have a Jaccard similarity of 0.8 or more. Candidates are texts of which any of
 four fingerprints differ in four or fewer of 64 bits, and texts that share a MinHash band; each is
 verified (`diurna/llm/copies.py`).
@@ -23,11 +23,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies."""
+    """Keeps one row of each group of near copies: that of the smallest doc_id, ids that are null last."""
     found = copies.groups(docs, WORDS, RADIUS, TABLES)
-    stays = found.groupBy("root").agg(F.min("doc_id").alias("_stays")).select("_stays").distinct()
-    kept = docs.join(stays, docs.doc_id.eqNullSafe(F.col("_stays")), "left_semi")
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"))).alias("b")).select("b._doc", "b._text")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
+    kept = docs.join(stays, own, "left_semi")
+    # rows equal in doc_id and text are told apart by the other columns
+    row = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
     return kept.withColumn("_row", row).where("_row = 1").select(*docs.columns)
 
 

@@ -181,3 +181,16 @@ def test_near_copies_are_those_of_the_exact_similarity(spark):
     kept = sorted(r.doc_id for r in c.one_of_each_group(spark, docs, SF).collect())
     expected = sorted(set(root.tolist()))
     assert len(kept) < len(texts) and len(set(kept) ^ set(expected)) <= 1  # bands miss 7 in 10,000 pairs at 0.8
+
+
+def test_rows_are_kept_by_text_not_by_id(spark):
+    import corpus_pipeline as c
+
+    rng = np.random.default_rng(4)
+    clean = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 60))
+    a, b, d, e, g = clean(), clean(), clean(), clean(), clean()
+    rows = [(None, a), (None, b), (None, b), (1, d), (1, e), (2, d + " end"), (None, e), (3, g), (3, g), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in c.one_of_each_group(spark, docs, SF).collect()]
+    assert sorted((x for x in kept if x[1]), key=str) == sorted([(None, a), (None, b), (1, d), (1, e), (3, g)], key=str)
+    assert len(kept) == 6
