@@ -1,18 +1,25 @@
 """Near copies by exact shingle similarity: candidates from SimHash links and MinHash bands, each verified.
 
 1. Every text gets its SimHashes and BANDS keys, each of ROWS MinHashes over its shingles. Texts with
-   equal words are one node.
-2. Nodes that share a key or are linked by SimHash are candidates. Two texts at the similarity share
-   no key with a chance of (1 - SIMILARITY ** ROWS) ** BANDS, about 7 in 10,000, and less above it.
-3. Each connected part of the candidates is compared in one task, by the Jaccard similarity of the
-   sets of shingles, each text with all that are not yet connected to it. Only connections count, so
-   a group of near copies takes little more than one comparison for each text.
+   equal words are one node. What SimHash links (`simhash.linked`) is one key more.
+2. Nodes that share a key are candidates. Two texts at the similarity share no band with a chance of
+   (1 - SIMILARITY ** ROWS) ** BANDS, about 7 in 10,000, and less above it.
+3. In each key one node is the centre and is compared with all that are not connected to it yet, by
+   the Jaccard similarity of the sets of shingles. Then all that concerns the centre is decided and it
+   leaves the key. A key whose nodes are all connected is done. Centres are the nodes with most
+   candidates, so a large group of near copies is connected after few turns of one comparison a node.
+4. When what is left is little, its pairs are compared in blocks: of each key, all nodes outside the
+   largest connected part against all nodes, STRAYS by MEMBERS of them in a task.
+
+No task holds a whole key or group, and no pair of a key is left out: it is compared, or both are
+connected by others.
 
 Defined cases: texts without words are copies of each other; a text shorter than a shingle is one.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +30,16 @@ from pyspark.sql import functions as F
 
 from .simhash import columns_of, components, linked, mixed, shingle_hashes, votes
 from .store import written
-from .textcore import SLICE_BYTES, slices
+from .textcore import SLICE_BYTES, gather, slices
 from .words import small
 
 ROWS, BANDS = 6, 24
 #: As a fraction, so that the test is exact.
 SIMILARITY = (4, 5)
+#: Pairs of one centre that a task compares; hashes of centres that are broadcast at most (32 MB).
+PAIRS, BROADCAST_HASHES = 4096, 4 << 20
+#: Nodes of a block; turns of centres at most; pairs for each node that are little enough to be compared in blocks.
+STRAYS, MEMBERS, TURNS, LITTLE = 128, 1024, 12, 16
 
 
 def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -66,43 +77,116 @@ def marked(docs: DataFrame, words: int, tables: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, node long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
 
 
-def connected(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the smallest number of a set that links of the similarity connect it to."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles, n): the distinct shingle hashes of texts(node, text), one row for each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                hashes, counts, _ = shingle_hashes(part.column("text"), words)
+                sets = [np.unique(hashes[e - n : e]) for e, n in zip(np.cumsum(counts), counts, strict=True)]
+                ends = np.append(0, np.cumsum([len(x) for x in sets]))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists, pa.array(np.diff(ends), pa.int32())], ["node", "shingles", "n"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>, n int").dropDuplicates(["node"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs (node, centre) that reach the similarity. Centres with many pairs are spread over tasks."""
+    over, under = SIMILARITY
+    asked = pairs.groupBy("centre").agg(F.count("*").alias("pairs")).withColumn("salts", F.ceil(F.col("pairs") / PAIRS).cast("int"))
+    centres = asked.join(sets, F.col("centre") == F.col("node")).select("centre", "salts", F.col("shingles").alias("theirs"), F.col("n").alias("m"))
+    centres = written(centres)
+    held = centres.agg(F.sum(F.col("m") + 8)).first()[0] or 0
+    if held <= BROADCAST_HASHES:
+        centres, on = F.broadcast(centres), ["centre"]
+    else:
+        busy = asked.where("salts > 1").select("centre", F.col("salts").alias("_salts"))  # at most one centre for each PAIRS pairs
+        pairs = pairs.join(small(busy, busy.count()), "centre", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("_salts", F.lit(1))).cast("int"))
+        centres, on = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), ["centre", "salt"]
+    both = pairs.join(sets, "node").join(centres, on)
+    size = F.col("n") + F.col("m")
+    near = both.where(under * F.least("n", "m") >= over * F.greatest("n", "m"))
+    common = F.size(F.array_intersect("shingles", "theirs"))
+    return near.where(under * common >= over * (size - common)).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+
+
+def compared(table: pa.Table) -> pa.Table:
+    """Links (a, b) of strays with members of a block; of links that others connect already none is given."""
     over, under = SIMILARITY
-    sizes = np.array([len(s) for s in sets])
-    terms, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    begins = np.append(0, np.cumsum(sizes))
-    root = np.arange(len(sets))
-    left, rest = np.arange(len(sets)), flat  # sets not reached yet, and their terms
-    held = np.zeros(len(terms), bool)
-    while len(left):
-        first = int(left[0])
-        rest, left, reached = rest[sizes[first] :], left[1:], [first]
-        while reached and len(left):
-            x = reached.pop()
-            mine = flat[begins[x] : begins[x + 1]]
-            held[mine] = True
-            owner = np.repeat(np.arange(len(left)), sizes[left])
-            both = np.bincount(owner[held[rest]], minlength=len(left))
-            held[mine] = False
-            near = under * both >= over * (sizes[left] + sizes[x] - both)
-            if near.any():
-                root[left[near]] = first
-                reached += left[near].tolist()
-                rest, left = rest[~near[owner]], left[~near]
-    return root
-
-
-def verified(words: int):
-    def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        nodes, at = np.unique(nodes, return_index=True)  # repeated rows count once
-        hashes, counts, _ = shingle_hashes(table.column("text").take(pa.array(at)), words)
-        ends = np.cumsum(counts)
-        root = connected([np.unique(hashes[e - n : e]) for e, n in zip(ends, counts, strict=True)])
-        return pa.table({"node": nodes, "root": nodes[root]})
-
-    return run
+    stray = table.column("stray").to_numpy(zero_copy_only=False)
+    node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+    members, strays = np.flatnonzero(~stray), np.flatnonzero(stray)
+    nothing = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not len(members) or not len(strays):
+        return nothing
+    lists = table.column("shingles").combine_chunks()
+    ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+    terms, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    sizes = np.diff(ends)
+    owner = np.repeat(np.arange(len(members)), sizes[members])
+    theirs = flat[gather(ends[members], sizes[members])]
+    _, root = np.unique(comp, return_inverse=True)
+    held, a, b = np.zeros(len(terms), bool), [], []
+    for x in strays:
+        other = root[members] != root[x]
+        if not other.any():
+            continue
+        mine = flat[ends[x] : ends[x + 1]]
+        held[mine] = True
+        both = np.bincount(owner[held[theirs]], minlength=len(members))
+        held[mine] = False
+        near = np.flatnonzero(other & (under * both >= over * (sizes[members] + sizes[x] - both)))
+        for y in members[near]:
+            if root[y] != root[x]:
+                root[root == root[y]] = root[x]
+                a.append(node[x])
+                b.append(node[y])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def rest_of(met: DataFrame, state: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links among what is left in the keys, met(key, node, comp), compared in blocks."""
+    many = state.select("key", F.col("big.comp").alias("most"), F.ceil((F.col("m") - F.col("big.n")) / STRAYS).cast("int").alias("i_n"), F.ceil(F.col("m") / MEMBERS).cast("int").alias("j_n"))
+    rows = met.join(many, "key").withColumn("i", F.pmod(F.xxhash64("node"), "i_n").cast("int")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "j_n").cast("int"))
+    up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    as_member = rows.select("key", "node", "comp", F.lit(False).alias("stray"), up_to("i_n").alias("i"), "j")
+    as_stray = rows.where("comp <> most").select("key", "node", "comp", F.lit(True).alias("stray"), "i", up_to("j_n").alias("j"))
+    blocks = as_member.unionByName(as_stray).join(sets.select("node", "shingles"), "node")
+    return blocks.groupBy("key", "i", "j").applyInArrow(compared, "a long, b long")
+
+
+def verified(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of nodes that links of the similarity connect, from met(key, node)."""
+    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
+    degrees = met.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree"))
+    met = written(met.join(degrees, "node"))
+    comps, turn = None, 0
+    while True:
+        own = met.withColumn("comp", F.col("node")) if comps is None else met.join(comps, "node", "left").select("key", "node", "degree", F.coalesce("root", "node").alias("comp"))
+        own = written(own)
+        by_comp = own.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct("degree", "node")).alias("c"))
+        state = by_comp.groupBy("key").agg(
+            F.sum("n").alias("m"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("big"), F.max(F.struct((-F.col("n")).alias("few"), "c.degree", "c.node", "comp")).alias("centre")
+        )
+        state = written(state.where("comps > 1"))
+        work = state.agg(F.sum("m").alias("nodes"), F.sum((F.col("m") - F.col("big.n")) * F.col("m")).cast("double").alias("pairs")).first()
+        if not work.nodes:
+            break
+        turn += 1
+        last = turn > TURNS or (turn > 1 and work.pairs <= LITTLE * work.nodes)
+        if last:
+            links = rest_of(own, state, sets)
+        else:
+            open_ = own.join(state.select("key", F.col("centre.node").alias("centre"), F.col("centre.comp").alias("theirs")), "key")
+            links = similar(open_.where("comp <> theirs").select("node", "centre").distinct(), sets)
+            met = written(open_.where("node <> centre").select("key", "node", "degree"))
+        before = [] if comps is None else [comps.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+        comps = written(components(functools.reduce(DataFrame.unionByName, [written(links), *before])))
+        if last:
+            break
+    return comps if comps is not None else met.select("node", F.col("node").alias("root")).limit(0)
 
 
 def groups(docs: DataFrame, words: int, radius: int, tables: int) -> DataFrame:
@@ -116,12 +200,10 @@ def groups(docs: DataFrame, words: int, radius: int, tables: int) -> DataFrame:
     # what SimHash links is one more key
     keyed = nodes.join(near, "fp", "left").select("node", F.explode(F.concat("keys", F.array(F.coalesce("root", "fp").bitwiseXOR(F.lit(0x2545F4914F6CDD1D))))).alias("key"))
     keyed = written(keyed)
-    shared = written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low"))
-    stars = keyed.join(small(shared, shared.count()), "key").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    parts = components(stars).select("node", F.col("root").alias("part"))
-    parts = parts.unionByName(parts.select(F.col("part").alias("node"), "part")).distinct()  # roots have no row of their own
-    members = written(nodes.join(parts, "node").select("node", "part", F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_text")))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    met = written(keyed.join(small(shared, shared.count()), "key"))
+    members = written(nodes.join(met.select("node").distinct(), "node").select("node", F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_text")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     found = own.join(small(members, members.count()), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")))
-    roots = written(found.select("part", "node", "text").groupBy("part").applyInArrow(verified(words), "node long, root long"))
+    roots = verified(met, written(shingle_sets(found.select("node", "text"), words)))
     return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
