@@ -17,8 +17,10 @@ WORDS, RADIUS, TABLES = 5, 4, 4
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose lines are mostly good."""
+    """Keeps documents whose lines are mostly good; all of them if the labels teach no difference."""
     model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs
     return quality.score(docs, model, keep=True).where(F.col("score") >= quality.GOOD).select(*docs.columns)
 
 
