@@ -1,6 +1,6 @@
 """Language of mixed-language texts: script ranges, word scores, Viterbi with a switching penalty.
 
-1. Words are runs of letters and marks, in lower case. The scripts of a word's letters (ranges of
+1. Words are runs of letters and marks with a letter among them, in lower case. The scripts of a word's letters (ranges of
    code points) narrow its candidates to the languages that were learned with those scripts.
 2. A word scores, for each language, the sum of log-probabilities of its letter sequences of one to
    four characters, with word ends, from tables of hashed counts.
@@ -9,11 +9,12 @@
 4. The text's language is the one whose spans hold most letters (ties: first in sorted order); the
    score is the share of the letters they hold, times how clearly the words of those spans prefer it.
 
-The tables are fitted on at most TRAIN_DOCS documents for each of the MAX_LANGUAGES most frequent
-languages, those with the smallest hashes of their doc_id, with whole texts; every text is predicted
-whole.
+The tables are fitted on at most TRAIN_DOCS doc_ids for each language, those with the smallest hashes,
+with whole texts; every language is learned and every text is predicted whole. The tables of all
+languages have at most CELLS cells together (but LEAST_BITS bits for each), so that many languages get
+smaller tables, in which more letter sequences share a cell.
 
-Defined cases: a null text and one without letters are `und` with score 0; words in a script that
+Defined cases: an empty table gives an empty result; a null text and one without letters are `und` with score 0; words in a script that
 no language was learned with score alike for all languages; without any learned language every text
 is `und`; repeated rows get equal results; extra columns are ignored.
 """
@@ -31,15 +32,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import held_out
+from .store import written
 from .textcore import binary_array, code_points, flat, slices
+from .words import small
 
 #: Bounds of the sample that is learned from.
 TRAIN_DOCS = 600
-MAX_LANGUAGES = 500
-SALTS = 256
 #: Bytes of text that are predicted at once.
 SLICE_BYTES = 4 << 20
-TABLE = 1 << 18
+#: Bits of the hashed numbers of letter sequences, for few and for very many languages, and cells of all tables.
+BITS, LEAST_BITS = 18, 10
+CELLS = 1 << 23
 ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
 #: A script is a candidate's own if at least this share of its letters are of that script.
@@ -65,8 +68,8 @@ NAMES = sorted({name for _, name in SCRIPTS})
 
 @functools.cache
 def tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point whether words hold it, and the number of its script."""
-    word = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    """For each code point whether words hold it (2: it is a letter), and the number of its script."""
+    word = np.array(["ML".find(unicodedata.category(chr(c))[0]) + 1 for c in range(0x110000)], np.uint8)
     begins = np.array([b for b, _ in SCRIPTS])
     numbers = np.array([NAMES.index(n) for _, n in SCRIPTS], np.uint8)
     return word, numbers[np.searchsorted(begins, np.arange(0x110000), side="right") - 1]
@@ -77,7 +80,8 @@ def words_in(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarr
     lowered = pa.array([t.lower() if t else "" for t in column.to_pylist()], pa.large_string())
     data, offsets = flat(lowered)
     points, begins = code_points(data) if len(data) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
-    inside = tables()[0][points]
+    kind = tables()[0][points]
+    inside = kind > 0
     first = np.zeros(len(points) + 1, bool)
     first[np.searchsorted(begins, offsets)] = True
     begin, stop = inside.copy(), inside.copy()
@@ -85,6 +89,9 @@ def words_in(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarr
         begin[1:] &= ~inside[:-1] | first[1:-1]
         stop[:-1] &= ~inside[1:] | first[1:-1]
     a, b = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    letters = np.append(0, np.cumsum(kind == 2))
+    spoken = letters[b] > letters[a]  # marks alone are no word
+    a, b = a[spoken], b[spoken]
     counts = np.diff(np.searchsorted(begins[a], offsets))
     # all stretches, words and what lies between, in turn; the words are every other one
     bounds = np.stack([begins[a], begins[b]], axis=1).ravel()
@@ -93,7 +100,12 @@ def words_in(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarr
     return words.dictionary_encode(), b - a, counts
 
 
-def sequences(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bits_for(languages: int) -> int:
+    """Bits of a number with which the tables of all languages have at most CELLS cells."""
+    return max(LEAST_BITS, min(BITS, (CELLS // max(languages, 1)).bit_length() - 1))
+
+
+def sequences(words: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the hashed letter sequences of words, how many each word has, scripts (bit mask) of each."""
     data, offsets = flat(words)
     n = len(words)
@@ -120,7 +132,7 @@ def sequences(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if order == 1:
             ok &= points != 32
         mixed = h[ok] * np.uint64(0x9E3779B97F4A7C15)
-        out.append((mixed >> np.uint64(64 - 18)).astype(np.int64))
+        out.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
         who.append(owner[:m][ok])
     numbers, who = (np.concatenate(out), np.concatenate(who)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     by_word = np.argsort(who, kind="stable")
@@ -135,7 +147,7 @@ class Model:
 
     def word_scores(self, words: pa.Array) -> np.ndarray:
         """Words x languages; languages that the scripts rule out get a low score."""
-        numbers, sizes, masks = sequences(words)
+        numbers, sizes, masks = sequences(words, len(self.logs).bit_length() - 1)
         scores = np.zeros((len(words), len(self.names)))
         full = np.flatnonzero(sizes)
         if len(full):
@@ -193,15 +205,19 @@ def viterbi(scores: np.ndarray, places: np.ndarray, counts: np.ndarray, penalty:
 def train(docs: DataFrame) -> Model | None:
     """Learns from documents with a language that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).select("lang")
-    known = known.join(F.broadcast(common), "lang", "left_semi")
-    # ranked within salted parts of a language first, so that a frequent one is not ranked in one task
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))
-    chosen = known.select("doc_id", "lang", salt.alias("salt"))
-    for keys in (["lang", "salt"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
-        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= TRAIN_DOCS).drop("rank")
-    chosen = chosen.select("doc_id", "lang").distinct()
+    # those below a bound that about TRAIN_DOCS reach, so that no language is ranked whole
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
+    counts = written(counts)
+    languages = counts.count()
+    part = (1.25 * TRAIN_DOCS + 8 * TRAIN_DOCS**0.5 + 32) / F.col("n")
+    near = known.select("doc_id", "lang").join(small(counts, languages), "lang").where(F.xxhash64("doc_id").cast("double") <= -(2.0**63) + part * 2.0**64)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = written(near.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= TRAIN_DOCS).drop("rank"))
+    names = sorted(r.lang for r in counts.select("lang").collect())
+    if not names:
+        return None
+    number, bits = {name: i for i, name in enumerate(names)}, bits_for(len(names))
+    table_size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,29 +225,25 @@ def train(docs: DataFrame) -> Model | None:
                 for lang in part.column("lang").unique().to_pylist():
                     own = part.filter(pa.compute.equal(part.column("lang"), lang))
                     words, _, _ = words_in(own.column("text"))
-                    numbers, sizes, masks = sequences(words.dictionary)
+                    cells, sizes, masks = sequences(words.dictionary, bits)
                     weight = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
-                    table = np.bincount(numbers, np.repeat(weight, sizes), TABLE)
+                    table = np.bincount(cells, np.repeat(weight, sizes), table_size)
                     scripts = np.array([weight[(masks >> k) & 1 == 1].sum() for k in range(len(NAMES))], np.float64)
                     at = np.flatnonzero(table)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * (len(at) + len(scripts)), pa.string()), pa.array(np.append(at, TABLE + np.arange(len(scripts)))), pa.array(np.append(table[at], scripts))],
-                        ["lang", "number", "n"],
+                        [pa.array(np.full(len(at) + len(scripts), number[lang], np.int32)), pa.array(np.append(at, table_size + np.arange(len(scripts))).astype(np.int32)), pa.array(np.append(table[at], scripts))],
+                        ["lang", "cell", "n"],
                     )
 
-    # at most TRAIN_DOCS rows for each of at most MAX_LANGUAGES languages
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, number long, n double").groupBy("lang", "number").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(rows.column("lang").to_pylist()))
-    if not names:
-        return None
-    counts = np.zeros((TABLE + len(NAMES), len(names)))
-    which = np.searchsorted(names, rows.column("lang").to_pylist())
-    counts[rows.column("number").to_numpy(), which] = rows.column("n").to_numpy()
-    grams, scripts = counts[:TABLE], counts[TABLE:]
-    logs = np.log(grams + 0.5) - np.log(grams.sum(axis=0) + 0.5 * TABLE)
-    allowed = scripts >= SCRIPT_SHARE * scripts.sum(axis=0)
-    return Model(names, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), allowed)
+    # at most TRAIN_DOCS rows of two short values for each language
+    sample = known.select("doc_id", "lang", "text").join(small(chosen, chosen.count()), ["doc_id", "lang"], "left_semi")
+    rows = sample.select("lang", "text").mapInArrow(run, "lang int, cell int, n double").groupBy("lang", "cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    counts = np.zeros((table_size + len(NAMES), len(names)), np.float32)
+    counts[rows.column("cell").to_numpy(), rows.column("lang").to_numpy()] = rows.column("n").to_numpy()
+    grams, scripts = counts[:table_size], counts[table_size:]
+    logs = np.log(grams + np.float32(0.5)) - np.log(grams.sum(axis=0, dtype=np.float64) + 0.5 * table_size).astype(np.float32)
+    logs -= logs.mean(axis=1, keepdims=True)
+    return Model(names, logs, scripts >= SCRIPT_SHARE * scripts.sum(axis=0))
 
 
 def _labelled(model: Model, column: pa.Array, penalty: float):

@@ -8,10 +8,12 @@ block before allow, then the smallest list name).
 
 The intervals are joined on the pattern with the fetch time inside; an instant at which one entry
 ends and the next begins belongs to the next. Entries of one pattern are few, captures of one host
-many: captures are never grouped by host; the join is on the pattern alone and its captures' side
-can be split. Intervals are broadcast if counted to be few.
+many: captures are never grouped by host. Intervals are broadcast if counted to be few and short;
+otherwise each is copied to SALTS places and the captures are dealt among them, so that the captures
+of a common host are joined by as many tasks.
 
-Defined cases: a null or unusable URL or fetch time matches nothing and is kept; entries without a
+Defined cases: a host is tried with all its endings of whole labels, up to the most labels that a
+listed pattern has; an address of IP version 6 is a host without its brackets, and only whole; a null or unusable URL or fetch time matches nothing and is kept; entries without a
 pattern, date or action are void; entries of one pattern, list and instant count as one, the last by
 action name; repeated captures give repeated rows; extra columns are ignored.
 """
@@ -21,16 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import small
+from .words import BROADCAST_BYTES, BROADCAST_ROWS
 
-#: Domain levels above a host that can be listed.
-LEVELS = 8
+#: Copies of each interval if they are too many to be broadcast.
+SALTS = 8
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case, without user, port and final dot; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    host = F.regexp_replace(host, r"\.$", "")
+    """The host in lower case, without user, port, brackets and final dot; null if there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)", 1))
+    host = F.regexp_replace(host, r"\.$|[\[\]]", "")
     return F.nullif(host, F.lit(""))
 
 
@@ -45,17 +47,24 @@ def intervals(entries: DataFrame) -> DataFrame:
 def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """For each capture (page_id, url, fetched_at): host, and the entry that decides, or nulls."""
     spans = intervals(entries).where(F.col("action").isin("block", "allow"))
-    n = entries.count()
+    labels = F.size(F.split("pattern", r"\."))
+    size = spans.agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern") + F.coalesce(F.octet_length("list"), F.lit(0)) + 64).alias("bytes"), F.max(labels).alias("labels")).first()
     rows = captures.select("page_id", "url", "fetched_at", host_of(F.col("url").cast("string")).alias("host")).withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
-    names = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LEVELS))), lambda i: F.array_join(F.slice(labels, -i, i), "."))
-    # the host itself is listed too when it has more labels
-    names = F.when(F.col("host").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array_union(names, F.array("host")))
+    # no pattern has more labels than the longest
+    names = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(size.labels or 1))), lambda i: F.array_join(F.slice(labels, -i, i), "."))
+    names = F.when(F.col("host").isNull(), F.array(F.lit(None).cast("string"))).when(F.contains("host", F.lit(":")), F.array("host")).otherwise(names)
     tried = rows.select("*", F.explode_outer(names).alias("pattern"))
-    inside = (tried.pattern == F.col("s.pattern")) & (tried.fetched_at >= F.col("s.since")) & (F.col("s.until").isNull() | (tried.fetched_at < F.col("s.until")))
-    met = tried.join(small(spans, n).alias("s"), inside, "left")
-    rank = F.struct(F.when(F.col("s.action").isNotNull(), F.length("s.pattern")).otherwise(-1).alias("size"), (F.col("s.action") == "block").alias("block"))
-    best = F.max_by(F.struct(F.col("s.list").alias("list"), F.col("s.pattern").alias("pattern"), F.col("s.action").alias("action"), F.col("s.since").alias("since")), F.struct(rank.alias("rank"), F.transform(F.split(F.col("s.list"), ""), lambda c: -F.ascii(c)).alias("order")))
+    if size.n <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
+        tried, spans = tried.withColumn("salt", F.lit(0)), F.broadcast(spans.withColumn("salt", F.lit(0)))
+    else:
+        tried, spans = tried.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")), spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inside = (tried.pattern == F.col("s.pattern")) & (tried.salt == F.col("s.salt")) & (tried.fetched_at >= F.col("s.since")) & (F.col("s.until").isNull() | (tried.fetched_at < F.col("s.until")))
+    met = tried.join(spans.alias("s"), inside, "left")
+    best = F.min(F.struct(
+        F.coalesce(-F.length("s.pattern"), F.lit(1)).alias("size"), (F.col("s.action") != "block").alias("later"),
+        F.col("s.list").alias("list"), F.col("s.pattern").alias("pattern"), F.col("s.action").alias("action"), F.col("s.since").alias("since"),
+    ))
     decided = met.groupBy("row", tried.page_id, tried.url, tried.fetched_at, tried.host).agg(best.alias("e"))
     return decided.select("page_id", "url", "fetched_at", "host", F.col("e.list").alias("list"), F.col("e.pattern").alias("pattern"), F.coalesce("e.action", F.lit("none")).alias("action"), F.col("e.since").alias("since"))
 
@@ -105,7 +114,7 @@ ORACLE = r"""
 WITH pages_at AS (
   SELECT page_id, url,
          make_timestamp((1704067200 + (page_id * 37 % 8784) * 3600) * 1000000) AS fetched_at,
-         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', ''), '') AS host
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)', 1)), '\.$|[\[\]]', '', 'g'), '') AS host
   FROM pages),
 hosts AS (SELECT DISTINCT host AS pattern FROM pages_at WHERE host IS NOT NULL),
 entries AS (
@@ -121,7 +130,7 @@ met AS (
   SELECT p.page_id, p.host, p.fetched_at, s.list, s.pattern, s.action, s.listed_at AS since,
          row_number() OVER (PARTITION BY p.page_id ORDER BY length(s.pattern) DESC NULLS LAST, s.action DESC, s.list) AS k
   FROM pages_at p LEFT JOIN spans s
-    ON s.action IN ('block', 'allow') AND (p.host = s.pattern OR p.host LIKE '%.' || s.pattern)
+    ON s.action IN ('block', 'allow') AND (p.host = s.pattern OR (p.host NOT LIKE '%:%' AND ends_with(p.host, '.' || s.pattern)))
    AND p.fetched_at >= s.listed_at AND (s.until IS NULL OR p.fetched_at < s.until))
 SELECT page_id, host, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, list, pattern, coalesce(action, 'none') AS action,
        strftime(since, '%Y-%m-%d %H:%M:%S') AS since

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast: counted before it is.
 BROADCAST_ROWS = 200_000
+#: Bytes that a table may hold to be broadcast, and rows of one key that one task joins.
+BROADCAST_BYTES = 32 << 20
+SPREAD = 20_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -30,3 +33,16 @@ def rolling(words: Column, k: int) -> Column:
 def small(table: DataFrame, rows: int) -> DataFrame:
     """The table, marked for broadcast if it has few enough rows."""
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """left joined to right, which has one row for each key with `n`, the number of left's rows of that key.
+
+    A key with over SPREAD rows is dealt to several tasks by the columns `by`; there is at most one
+    such key for each SPREAD rows. `n` is dropped.
+    """
+    salts = F.greatest(F.ceil(F.col("n") / SPREAD).cast("int"), F.lit(1))
+    busy = right.where(F.col("n") > SPREAD).select(key, salts.alias("_salts"))
+    left = left.join(small(busy, busy.count()), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return left.join(right, [key, "_salt"]).drop("_salt")

@@ -90,3 +90,28 @@ def test_scripts_narrow_candidates(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     out = langid.predict(spark.createDataFrame([(1, "совсем другое"), (2, "quite different")], "doc_id long, text string"), model)
     assert {r.doc_id: r.lang_pred for r in out.collect()} == {1: "ru", 2: "en"}
+
+
+def test_marks_are_no_language_and_all_languages_are_learned(spark, monkeypatch):
+    rows = [(i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 5} {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 3} word", f"l{i % 26:02d}") for i in range(26 * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for cells in (langid.CELLS, 26 << langid.LEAST_BITS):  # the second leaves each language the smallest tables
+        monkeypatch.setattr(langid, "CELLS", cells)
+        model = langid.train(docs)
+        assert len(model.names) == 26 and len(model.logs) == 1 << langid.bits_for(26)
+        got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+        assert all(got[i] == lang for i, _, lang in rows)
+    odd = spark.createDataFrame([(1, "\u0301\u0300 \u0308"), (2, "12 \u0301 34"), (3, "a\u0301")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(odd, model).orderBy("doc_id").collect()] == [True, True, False]
+
+
+def test_sample_is_that_of_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 5)
+    seen = []
+    monkeypatch.setattr(langid, "small", lambda df, n: seen.append(df) or F.broadcast(df))
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("lang"))
+    langid.train(docs)
+    taught = docs.where(~quality.held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id")).collect()
+    for lang in "ab":
+        expected = sorted((r.h, r.doc_id) for r in taught if r.lang == lang)[:5]
+        assert sorted(r.doc_id for r in seen[-1].where(F.col("lang") == lang).collect()) == sorted(d for _, d in expected)

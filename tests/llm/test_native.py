@@ -122,6 +122,18 @@ def test_url_filters(spark):
     assert urls.decide(pages.limit(0), entries).count() == 0 and urls.decide(pages, entries.limit(0)).where("action <> 'none'").count() == 0
 
 
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_url_ties_deep_hosts_and_addresses(spark, monkeypatch, rows):
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", rows)  # with 0 the intervals are shuffled
+    day = datetime(2024, 1, 1)
+    entries = [("spam2", "x.org", "block"), ("spam", "x.org", "block"), ("a", "x.org", "allow"), ("z", "b.c.d.e.f.g.h.i.org", "block"), ("ip", "2001:db8::1", "block"), ("ip", "1", "block"), (None, "y.org", "allow")]
+    entries = spark.createDataFrame([(a, b, c, day) for a, b, c in entries], "list string, pattern string, action string, listed_at timestamp")
+    names = ["http://x.org", "http://a.b.c.d.e.f.g.h.i.org/", "http://[2001:db8::1]:80/x", "http://u@v@[2001:DB8::1]", "http://y.org", "http://" + "a." * 300 + "x.org", "http://[::1]"]
+    got = urls.decide(spark.createDataFrame([(i, u, day) for i, u in enumerate(names)], "page_id long, url string, fetched_at timestamp"), entries).orderBy("page_id").collect()
+    assert [(r.list, r.action) for r in got] == [("spam", "block"), ("z", "block"), ("ip", "block"), ("ip", "block"), (None, "allow"), ("spam", "block"), (None, "none")]
+    assert got[2].host == "2001:db8::1"
+
+
 def test_url_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
