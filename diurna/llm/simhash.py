@@ -11,7 +11,7 @@
    forests of all shards connect exactly what the links connect.
 5. `components`: alternating stars over distributed tables, until nothing changes.
 
-Defined cases: texts without words (null, empty, white space) have fingerprint zero and link like
+Defined cases: an empty table gives an empty result; very long texts count whole; texts without words (null, empty, white space) have fingerprint zero and link like
 any other; repeated rows stay repeated rows with the same component; a null doc_id is kept, its
 component is the smallest doc_id of its group, or null if there is none; extra columns are ignored.
 """
@@ -28,13 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .textcore import SLICE_BYTES, flat, slices
-
-#: Fingerprints that the routing tree is fitted on; it decides where work is done, not the result.
-TREE_SAMPLE = 16_384
+from .textcore import flat, slices
+from .words import spread_join
+
+#: Bytes of text whose shingles are hashed at once.
+SLICE_BYTES = 2 << 20
+#: Fingerprints that the routing tree is fitted on: at least, for each shard, and at most. The tree
+#: decides where work is done, not the result; with the most it has shards for 1e10 fingerprints.
+TREE_SAMPLE, SHARD_SAMPLE, MOST_SAMPLE = 16_384, 12, 1_000_000
 #: Fingerprints that a shard should own. Each level of the routing tree copies what lies at its
 #: boundary, so shards are as large as a task can search in seconds.
 SHARD_ROWS = 120_000
+#: Copies of the root of a group, so that many rows of one group are joined to it in several tasks.
+SALTS = 8
 #: A local tree stops splitting here and compares all with all.
 LEAF_ROWS = 512
 
@@ -221,8 +227,14 @@ def forest(points: np.ndarray, mine: np.ndarray, radius: int) -> tuple[np.ndarra
 
 def routing_tree(fps: DataFrame) -> list:
     """A tree over a sample of the fingerprints whose leaves own about SHARD_ROWS of them all."""
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()], np.int64).view(np.uint64)
-    leaf = max(8, int(len(sample) * SHARD_ROWS / max(fps.count(), 1)))
+    n = fps.count()
+    want = min(max(TREE_SAMPLE, n // SHARD_ROWS * SHARD_SAMPLE), MOST_SAMPLE)
+    # hashes below a bound that somewhat more than `want` reach: a sample independent of the fingerprints' order
+    near = fps.select("fp", F.xxhash64("fp").alias("h")).where(F.col("h").cast("double") <= -(2.0**63) + (1.1 * want + 1000) / max(n, 1) * 2.0**64)
+    table = near.toArrow()
+    order = np.lexsort((table.column("fp").to_numpy(), table.column("h").to_numpy()))[:want]
+    sample = table.column("fp").to_numpy()[order].view(np.uint64)
+    leaf = max(SHARD_SAMPLE * 2 // 3, int(len(sample) * SHARD_ROWS / max(n, 1)))
     return grow(np.sort(sample), leaf, np.random.default_rng(7))
 
 
@@ -299,13 +311,16 @@ def groups(docs: DataFrame, words: int, radius: int, tables: int = 1) -> DataFra
     """
     names = columns_of(tables)
     marked = written(fingerprints(docs, words, tables))
-    least = written(marked.groupBy(*names).agg(F.min("doc_id").alias("least")))
+    least = written(marked.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     found = linked(least, names, radius)
     # (fp, root), then the smallest doc_id of each root
-    rooted = least.groupBy("fp").agg(F.min("least").alias("least")).join(found, F.col("fp") == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(best, "root").select("fp", "component_id")
-    return marked.select("doc_id", "fp").join(by_fp, "fp")
+    # of a large group many rows meet one root, which is copied to several places
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    rooted = least.groupBy("fp").agg(F.min("least").alias("least"), F.sum("n").alias("n")).join(found, F.col("fp") == found.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    tied = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")).where("fps > 1")
+    tied = tied.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    by_fp = rooted.select("*", salt).join(tied, ["root", "salt"], "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return spread_join(marked.select("doc_id", "fp"), by_fp, "fp", ["doc_id"])
 
 
 def op8_simhash_groups(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from diurna.llm import hnsw, simhash
+from diurna.llm import hnsw, simhash, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -42,12 +42,15 @@ def components(ids, fps, radius):
     return [least.get(find(i)) for i in range(len(ids))]
 
 
-def test_fingerprints_and_groups(spark, odd, nothing):
+def test_fingerprints_and_groups(spark, odd, nothing, monkeypatch):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     fps = [fingerprint(t, 3) for _, t in rows]
     expected = sorted(zip([d for d, _ in rows], fps, components([d for d, _ in rows], fps, 2), strict=True), key=str)
     got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.groups(odd, 3, 2).collect()), key=str)
     assert got == expected and simhash.groups(nothing, 3, 2).count() == 0
+    monkeypatch.setattr(words, "SPREAD", 2)  # a common fingerprint is joined in several tasks
+    again = simhash.groups(odd.unionByName(odd), 3, 2)
+    assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in again.collect()), key=str) == sorted(expected * 2, key=str)
 
 
 def test_long_documents_do_not_overflow_the_counters():
@@ -65,6 +68,7 @@ def test_long_documents_do_not_overflow_the_counters():
 def test_trees_lose_no_link(spark, monkeypatch, radius):
     monkeypatch.setattr(simhash, "LEAF_ROWS", 8)
     monkeypatch.setattr(simhash, "SHARD_ROWS", 60)
+    monkeypatch.setattr(simhash, "TREE_SAMPLE", 20 if radius == 2 else 16_384)  # the sample grows with the shards
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 2**63, 150, dtype=np.uint64)
     points = [base]
