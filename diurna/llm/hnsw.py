@@ -1,20 +1,26 @@
-"""Approximate nearest neighbours by inner product: one navigable small-world graph for each shard.
+"""Approximate nearest neighbours by inner product: navigable small-world graphs for each shard.
 
 1. Vectors are dealt into shards of about SHARD_ROWS by a hash of their id.
-2. Each shard builds its graph: the layers of a hierarchical navigable small world, each a flat
-   array of neighbour numbers (-1: none). A shard has a bounded size, so a node's candidates are
-   found exactly, by blocks, and pruned by the usual rule: a candidate is kept if it is nearer to
-   the node than to any neighbour kept before. Equal vectors are one node with its smallest ids.
-   The graphs are written to shared storage and are the index.
-3. Every query visits every shard: from the top layer, whose nodes are all entries, a beam search
-   goes down the layers. All queries of a batch step together.
+2. Within a shard, vectors are parted into bands of like length: the longest of a band is at most BAND
+   times as long as its shortest. Each band builds its graph: the layers of a hierarchical navigable
+   small world, each a flat array of neighbour numbers (-1: none). A shard has a bounded size, so a
+   node's candidates are found exactly, by blocks, and pruned by the usual rule: a candidate is kept
+   if it is nearer to the node than to any neighbour kept before. Equal vectors are one node with its
+   smallest ids. The graphs are written to shared storage and are the index.
+3. Every query visits every shard and there the bands from the longest down, as long as the product of
+   the lengths allows a score among its best: from the top layer, whose nodes are all entries, a beam
+   search goes down the layers. All queries of a batch step together.
 4. Shards return their nearest with exact scores in double precision, and these are merged.
 
-Inner products become distances by one more coordinate that gives all vectors of a shard one length.
+Inner products become distances by one more coordinate that gives all vectors of a band one length;
+as these are of like length, that coordinate is small. Vectors and queries are scaled before they are
+rounded to single precision, so their magnitude does not matter.
 
 Defined cases: vectors that are null, empty, zero or hold a null, NaN or infinite component, and
-rows with a null id take no part; only vectors of equal length are compared; rows that repeat an id
-count once, with the smallest vector; extra columns are ignored; an empty table gives no row.
+rows with a null id take no part; only vectors of equal length are compared; rows equal in id and
+vector count once, and of an id with several vectors the one with the best score counts; a query id
+with several vectors asks with the smallest; a score beyond the range of doubles is infinite, one that
+is no number counts as least; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,13 +36,15 @@ from pyspark.sql import functions as F
 from .store import written
 
 #: Vectors of one shard, about.
-SHARD_ROWS = 8192
+SHARD_ROWS = 32_768
+#: Length of the longest vector of a band, as a multiple of the shortest.
+BAND = 1.2
 #: Queries that one task should take through a shard.
 QUERY_ROWS = 20_000
 #: Neighbours of a node in the bottom layer and above it; candidates that they are picked from.
-NEAR, NEAR_ABOVE, CANDIDATES = 24, 16, 64
+NEAR, NEAR_ABOVE, CANDIDATES = 32, 16, 96
 #: Width of the beam below and above; nodes of each query that a step expands.
-BEAM, BEAM_ABOVE, AT_ONCE = 160, 32, 4
+BEAM, BEAM_ABOVE, AT_ONCE = 320, 32, 4
 #: A layer of at most this many nodes is the top; all its nodes are entries.
 TOP = 64
 LAYER_SHARE = 16
@@ -49,8 +57,8 @@ def neighbours(x: np.ndarray, near: int) -> np.ndarray:
     if want <= 0:
         return np.full((n, near), -1, np.int32)
     edges_a, edges_b, edges_s = [], [], []
-    for lo in range(0, n, 512):
-        block = x[lo : lo + 512]
+    for lo in range(0, n, 256):
+        block = x[lo : lo + 256]
         sims = block @ x.T
         rows = np.arange(len(block))
         sims[rows, lo + rows] = -np.inf
@@ -85,15 +93,20 @@ def neighbours(x: np.ndarray, near: int) -> np.ndarray:
     return flat
 
 
-def build(ids: np.ndarray, vectors: np.ndarray, keep_ids: int) -> dict:
-    """The index of one shard: distinct vectors, the smallest ids of each, and its layers."""
-    order = np.lexsort(tuple(vectors.T[::-1]) + (ids,))
-    ids, vectors = ids[order], vectors[order]
-    first = np.append(True, ids[1:] != ids[:-1])  # of rows with one id the smallest vector
-    ids, vectors = ids[first], vectors[first] + 0.0  # no negative zero
+def log_lengths(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the Euclidean lengths, also of vectors whose squares no double holds."""
+    most = np.abs(x).max(axis=1)
+    return np.log(most) + 0.5 * np.log(((x / most[:, None]) ** 2).sum(axis=1))
+
+
+def build(ids: np.ndarray, vectors: np.ndarray, keep_ids: int) -> list[dict]:
+    """The index of one shard: for each band, from the longest down, distinct vectors, the smallest ids of each, and its layers."""
+    vectors = vectors + 0.0  # no negative zero
     _, node, same = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * vectors.itemsize}").ravel(), return_index=True, return_inverse=True)
     order = np.lexsort((ids, same))
     same, ids = same[order], ids[order]
+    fresh = np.append(True, (same[1:] != same[:-1]) | (ids[1:] != ids[:-1]))  # rows equal in id and vector count once
+    same, ids = same[fresh], ids[fresh]
     rank = np.arange(len(same)) - np.searchsorted(same, same)
     inside = rank < keep_ids
     table = np.full((len(node), min(keep_ids, int(rank.max()) + 1)), -1, np.int64)
@@ -101,21 +114,33 @@ def build(ids: np.ndarray, vectors: np.ndarray, keep_ids: int) -> dict:
     table[same[inside], rank[inside]] = ids[inside]
     taken[same[inside], rank[inside]] = True
     x = vectors[node]
-    unit = x.astype(np.float32)
-    unit = unit / np.float32(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max()))
-    pad = np.sqrt(np.maximum(0, 1 - (unit.astype(np.float64) ** 2).sum(axis=1))).astype(np.float32)
-    unit = np.concatenate([unit, pad[:, None]], axis=1)
-    layers, members = [], np.arange(len(x))
-    rng = np.random.default_rng(len(x))
-    shuffled = rng.permutation(len(x))
-    size = len(x)
+    logs = log_lengths(x)
+    down = np.argsort(-logs, kind="stable")
+    bands, at = [], 0
+    while at < len(down):
+        upto = int(np.searchsorted(-logs[down], -(logs[down[at]] - np.log(BAND)), side="right"))
+        rows = down[at:upto]
+        bands.append({"x": x[rows], "ids": table[rows], "taken": taken[rows], "longest": logs[rows[0]], **layers_of(x[rows], logs[rows])})
+        at = upto
+    return bands
+
+
+def layers_of(x: np.ndarray, logs: np.ndarray) -> dict:
+    """The vectors of a band, all made of one length, and the layers of their graph."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    # by way of the largest component and the logarithm, as lengths may be beyond doubles
+    unit = (x / most) * np.exp(np.log(most) - logs.max())
+    pad = np.sqrt(np.maximum(0, 1 - (unit**2).sum(axis=1, keepdims=True)))
+    unit = np.concatenate([unit, pad], axis=1).astype(np.float32)
+    layers, size = [], len(x)
+    shuffled = np.random.default_rng(len(x)).permutation(len(x))
     while True:
         members = shuffled[:size]
         layers.append((members.astype(np.int32), neighbours(unit[members], NEAR if not layers else NEAR_ABOVE)))
         if size <= TOP:
             break
         size = max(TOP, size // LAYER_SHARE)
-    return {"x": x, "unit": unit, "ids": table, "taken": taken, "layers": layers}
+    return {"unit": unit, "layers": layers}
 
 
 def beam(unit: np.ndarray, flat: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int) -> np.ndarray:
@@ -168,34 +193,43 @@ def beam(unit: np.ndarray, flat: np.ndarray, queries: np.ndarray, entries: np.nd
     return np.where(ids == n, -1, ids)
 
 
-def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, vec_id, score) of the nearest that the graph finds, at most k for each query."""
-    q32 = queries.astype(np.float32)
+def search(bands: list[dict], query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, vec_id, score) of the nearest that the graphs find, at most k for each query."""
+    lengths = log_lengths(queries)
+    q32 = (queries / np.abs(queries).max(axis=1, keepdims=True)).astype(np.float32)
     q32 = np.concatenate([q32, np.zeros((len(q32), 1), np.float32)], axis=1)
-    members, flat = index["layers"][-1]
-    entries = np.broadcast_to(np.arange(len(members)), (len(queries), len(members)))
-    for level in range(len(index["layers"]) - 1, -1, -1):
-        members, flat = index["layers"][level]
-        width = BEAM if level == 0 else BEAM_ABOVE
-        found = beam(index["unit"][members], flat, q32, entries, max(width, entries.shape[1]))
+    best_ids, best = [np.zeros(0, np.int64) for _ in queries], [np.zeros(0) for _ in queries]
+    for band in bands:
+        with np.errstate(over="ignore"):
+            bound = np.exp(lengths + band["longest"]) * (1 + 1e-9)
+        asking = np.array([i for i in range(len(queries)) if len(best[i]) < k or not best[i][-1] > bound[i]], np.int64)
+        if not len(asking):
+            continue
+        nodes, found = visited(band, q32[asking])
+        ids = band["ids"][nodes]
+        valid = found[:, :, None] & band["taken"][nodes] & (ids != query_ids[asking][:, None, None])
+        for row, i in enumerate(asking):
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = (band["x"][nodes[row]] * queries[i]).sum(axis=1)
+            at, which = np.nonzero(valid[row])
+            all_ids, all_s = np.append(best_ids[i], ids[row][at, which]), np.append(best[i], np.where(np.isnan(s), -np.inf, s)[at])
+            order = np.lexsort((all_ids, -all_s))
+            # of an id with several vectors the best score stays
+            _, first = np.unique(all_ids[order], return_index=True)
+            order = order[np.sort(first)][:k]
+            best_ids[i], best[i] = all_ids[order], all_s[order]
+    return np.repeat(np.arange(len(queries)), [len(x) for x in best]), np.concatenate(best_ids), np.concatenate(best)
+
+
+def visited(band: dict, q32: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the nodes that the beam search finds, and whether each place holds one."""
+    members, _ = band["layers"][-1]
+    entries = np.broadcast_to(np.arange(len(members)), (len(q32), len(members)))
+    for level in range(len(band["layers"]) - 1, -1, -1):
+        members, flat = band["layers"][level]
         # upper layers are the first of the shuffled nodes, so a node's number is the same below
-        entries = found
-    nodes = np.where(found < 0, 0, index["layers"][0][0][found])
-    valid = (found >= 0)[:, :, None] & index["taken"][nodes]
-    ids = index["ids"][nodes]
-    valid &= ids != query_ids[:, None, None]
-    out_q, out_id, out_s = [], [], []
-    for i in range(len(queries)):
-        x = index["x"][nodes[i]].astype(np.float64)
-        s = (x * queries[i].astype(np.float64)).sum(axis=1)
-        at, which = np.nonzero(valid[i])
-        own_ids, own_s = ids[i][at, which], s[at]
-        order = np.lexsort((own_ids, -own_s))[:k]
-        out_q.append(np.full(len(order), i))
-        out_id.append(own_ids[order])
-        out_s.append(own_s[order])
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return cat(out_q, np.int64), cat(out_id, np.int64), cat(out_s, np.float64)
+        entries = beam(band["unit"][members], flat, q32, entries, max(BEAM if level == 0 else BEAM_ABOVE, entries.shape[1]))
+    return band["layers"][0][0][np.where(entries < 0, 0, entries)], entries >= 0
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -116,6 +116,33 @@ def test_nearest_neighbours(spark):
     assert hnsw.nearest(df.limit(0), df.limit(0), 20).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["one", "gauss", "lognormal", "outlier", "great", "small", "mixed"])
+def test_recall_whatever_the_lengths(lengths):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 64))
+    if lengths != "gauss":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = slice(7, 8) if lengths == "outlier" else slice(0, 5) if lengths == "mixed" else slice(None)
+    x[rows] *= {"one": 1, "gauss": 1, "lognormal": np.exp(2 * rng.normal(size=(4000, 1))), "outlier": 1e4, "great": 1e140, "small": 1e-60, "mixed": 1e200}[lengths]
+    ids, asked = np.arange(4000), np.arange(0, 4000, 40)
+    q, found, scores = hnsw.search(hnsw.build(ids, x, 21), asked, x[asked], 20)
+    hit = 0
+    for n, i in enumerate(asked):
+        with np.errstate(over="ignore"):
+            s = (x * x[i]).sum(axis=1)
+        s[i] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        hit += len(set(best.tolist()) & set(found[q == n].tolist()))
+        assert (scores[q == n] == s[found[q == n]]).all() and i not in found[q == n]
+    assert hit / (20 * len(asked)) >= 0.95
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [5.0, 0.0]), (1, [3.0, 1.0]), (1, [5.0, 0.0]), (2, [4.0, 0.0]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in hnsw.nearest(df, df.where("vec_id = 0"), 20).orderBy("rank").collect()] == [(1, 5.0), (2, 4.0), (3, -1.0)]
+
+
 def test_few_vectors_are_all_found(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in hnsw.nearest(df, df.where("vec_id = 0"), 20).orderBy("rank").collect()] == [1, 2, 3, 4, 5, 6]
