@@ -11,18 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a local session without that setting, as in tests, gets a folder of this machine.
+    Only a local session without that setting, as in tests, gets a folder of this machine. What lies
+    in the path is removed when the session's JVM ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return files.makeQualified(path).toString()
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, written to shared storage once and read from there."""
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.mode("append").parquet(folder)  # the folder is new and empty
     return df.sparkSession.read.schema(df.schema).parquet(folder)
