@@ -5,15 +5,19 @@ Layout of one file, all numbers little-endian:
     ids      groups of 64 ids; a group is `bits` 64-bit words, id k of the group sits at bit k * bits
     blocks   for each block of BLOCK_IDS ids the byte where it begins (uint64)
     docs     for each document the number of ids before it in this file (uint64), and the total
-    footer   MAGIC, bits, number of ids, of documents, of blocks (uint64 each)
+    names    for each document its doc_id (int64; of the first `nulls` documents it is null)
+    footer   MAGIC, bits, number of ids, of documents, of blocks, of nulls (uint64 each)
 
 `bits` is the least that the largest id needs. A group has a whole number of words, so every block
 can be found by its offset and unpacked alone with array operations; document d is ids[docs[d] :
 docs[d + 1]] and touches only its blocks.
 
-Defined cases: a null or empty text has no ids but the end id; equal doc_ids stand next to each
-other in no fixed order; a null doc_id comes first; extra columns are ignored; an empty table gives
-no file and no row.
+Files hold ranges of (doc_id, hash of the text), so a doc_id that is repeated often fills several of
+them, and their number grows with the input. They are read back by as many tasks.
+
+Defined cases: a null or empty text has no ids but the end id; equal doc_ids stand next to each other
+in the order of their texts' hashes; a null doc_id comes first; very long texts are encoded whole;
+extra columns are ignored; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -40,7 +44,9 @@ BLOCK_IDS = 1 << 16
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 4 << 20
 GROUP = 64
-FOOTER_BYTES = 5 * 8
+FOOTER_BYTES = 6 * 8
+#: Bytes of text for each file, about; small tables have fewer in each.
+FILE_BYTES = 256 << 20
 #: Words whose ids a Python worker remembers between batches; when full it starts anew.
 REMEMBERED = 500_000
 
@@ -76,11 +82,19 @@ def unpack_ids(raw: bytes, bits: int, first: int, count: int) -> np.ndarray:
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     """A folder given as a path or a URI."""
     kind = urlparse(folder).scheme
+    if kind in ("s3a", "s3n"):
+        folder = f"s3{folder[len(kind):]}"
     if kind in ("", "file"):
         return pafs.LocalFileSystem(), urlparse(folder).path if kind else folder
     return pafs.FileSystem.from_uri(folder)
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder as a URI of the file system that Spark would write it to."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 class Writer:
     """Writes one file under a name of its own; whoever lists the file in a row publishes it."""
 
@@ -92,10 +106,14 @@ class Writer:
         self.rest = np.zeros(0, np.uint32)
         self.ids = 0
         self.lengths: list[np.ndarray] = []
+        self.names: list[np.ndarray] = []
+        self.nulls = 0
 
-    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Ids of the next documents, one after the other, and how many each has."""
+    def add(self, ids: np.ndarray, lengths: np.ndarray, names: pa.Array) -> None:
+        """Ids of the next documents, one after the other, how many each has, and their doc_ids (nulls first)."""
         self.lengths.append(lengths.astype(np.int64))
+        self.nulls += names.null_count
+        self.names.append(names.fill_null(0).to_numpy())
         self.ids += len(ids)
         ids = np.concatenate([self.rest, ids.astype(np.uint32)])
         whole = len(ids) // GROUP * GROUP
@@ -108,7 +126,8 @@ class Writer:
         starts = np.arange(0, self.ids, BLOCK_IDS, dtype=np.uint64) // np.uint64(GROUP) * np.uint64(self.bits * 8)
         self.out.write(starts.astype("<u8").tobytes())
         self.out.write(np.cumsum(lengths).astype("<u8").tobytes())
-        self.out.write(np.array([MAGIC, self.bits, self.ids, len(lengths) - 1, len(starts)], "<u8").tobytes())
+        self.out.write(np.concatenate([np.zeros(0, np.int64), *self.names]).astype("<i8").tobytes())
+        self.out.write(np.array([MAGIC, self.bits, self.ids, len(lengths) - 1, len(starts), self.nulls], "<u8").tobytes())
         self.out.close()
 
 
@@ -119,10 +138,12 @@ class Reader:
         fs, path = filesystem(name)
         self.file = fs.open_input_file(path)
         size = self.file.size()
-        magic, self.bits, self.ids, docs, n = np.frombuffer(self.file.read_at(FOOTER_BYTES, size - FOOTER_BYTES), "<u8").astype(np.int64).tolist()
+        magic, self.bits, self.ids, docs, n, nulls = np.frombuffer(self.file.read_at(FOOTER_BYTES, size - FOOTER_BYTES), "<u8").astype(np.int64).tolist()
         if magic != MAGIC:
             raise ValueError(f"{name} is not a token file")
-        at = size - FOOTER_BYTES - 8 * (docs + 1)
+        at = size - FOOTER_BYTES - 8 * docs
+        self.names = pa.array(np.frombuffer(self.file.read_at(8 * docs, at), "<i8"), mask=np.arange(docs) < nulls)
+        at -= 8 * (docs + 1)
         self.docs = np.frombuffer(self.file.read_at(8 * (docs + 1), at), "<u8").astype(np.int64)
         self.blocks = np.append(np.frombuffer(self.file.read_at(8 * n, at - 8 * n), "<u8").astype(np.int64), at - 8 * n)
 
@@ -224,38 +245,41 @@ def encode_slice(path: str, column: pa.Array, end: int) -> tuple[np.ndarray, np.
 def write(docs: DataFrame, path: str, end: int, folder: str) -> DataFrame:
     """Encodes docs(doc_id, text) and writes the files in ascending doc_id order.
 
-    One row for each file: `part`, its place in the order, `file`, `ids`, and the doc_ids it holds.
+    One row for each file: `part`, its place in the order, `file`, `ids` and `docs`, how many it holds.
     Documents are dealt by ranges of doc_id, so each task writes one stretch of the order.
     """
     own, _, _ = tokenizer(path)
     bits = max(own.get_vocab_size(with_added_tokens=True) - 1, end).bit_length()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    folder = qualified(spark, folder)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        to, kept = None, []
+        to = None
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 to = to or Writer(folder, f"{task.partitionId():06d}-{uuid.uuid4().hex}.ids", bits)
-                to.add(*encode_slice(path, part.column("text"), end))
-                kept.append(part.column("doc_id"))
+                to.add(*encode_slice(path, part.column("text"), end), part.column("doc_id"))
         if to:
             to.close()
-            ids = pa.chunked_array(kept).combine_chunks()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([task.partitionId()], pa.int64()), pa.array([to.name]), pa.array([to.ids], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)],
-                ["part", "file", "ids", "doc_ids"],
+                [pa.array([task.partitionId()], pa.int64()), pa.array([to.name]), pa.array([to.ids], pa.int64()), pa.array([sum(map(len, to.lengths))], pa.int64())],
+                ["part", "file", "ids", "docs"],
             )
 
-    return docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "part long, file string, ids long, doc_ids array<long>")
+    dealt = docs.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return dealt.drop("tie").mapInArrow(run, "part long, file string, ids long, docs long")
 
 
 def read(files: DataFrame) -> DataFrame:
     """Documents of the listed files, read back: doc_id, start (ids before it in all files), ids array<int>."""
     before = files.groupBy("part").agg(F.sum("ids").alias("n"))
     before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    files = files.join(before, "part")
+    # one task for each file, whatever their number
+    files = files.join(before, "part").repartition(max(files.count(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +291,7 @@ def read(files: DataFrame) -> DataFrame:
                     hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), side="right")) - 1)
                     values = file.read(int(at[lo]), int(at[hi]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(row["doc_ids"][lo:hi], pa.int64()), pa.array(row["before"] + at[lo:hi]), pa.ListArray.from_arrays(pa.array(at[lo : hi + 1] - at[lo], pa.int32()), pa.array(values.astype(np.int32)))],
+                        [file.names.slice(lo, hi - lo), pa.array(row["before"] + at[lo:hi]), pa.ListArray.from_arrays(pa.array(at[lo : hi + 1] - at[lo], pa.int32()), pa.array(values.astype(np.int32)))],
                         ["doc_id", "start", "ids"],
                     )
                     lo = hi

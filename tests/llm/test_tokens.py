@@ -61,9 +61,10 @@ def test_file_gives_any_document(tmp_path):
     docs = [np.arange(n, dtype=np.uint32) % 50_000 for n in (0, 5, 200_000, 0, 64, 1)]
     w = tokenfile.Writer(str(tmp_path), "x", 16)
     for part in (docs[:2], docs[2:]):
-        w.add(np.concatenate(part), np.array([len(d) for d in part]))
+        w.add(np.concatenate(part), np.array([len(d) for d in part]), pa.array([None, 7] if len(part) == 2 else [7, 8, 9, 9], pa.int64()))
     w.close()
     r = tokenfile.Reader(w.name)
+    assert r.names.to_pylist() == [None, 7, 7, 8, 9, 9]
     assert r.ids == sum(map(len, docs)) and all((r.document(i) == d).all() for i, d in enumerate(docs))
 
 
@@ -82,3 +83,13 @@ def test_token_files(spark, odd, nothing):
         expected.append((r.doc_id, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
     assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(expected, key=str)
     assert tokenfile.read(tokenfile.written(tokenfile.write(nothing, PLAIN, 2, tokenfile.shared_folder(spark)))).count() == 0
+
+
+def test_one_doc_id_fills_several_files_in_one_order(spark):
+    docs = spark.range(400).selectExpr("5L as doc_id", "concat('text ', id) as text")
+    files = [tokenfile.written(tokenfile.write(d, PLAIN, 2, tokenfile.shared_folder(spark))) for d in (docs, docs.repartition(3))]
+    assert all(f.count() > 1 for f in files)
+    one, two = (sorted(map(tuple, tokenfile.summed(tokenfile.read(f)).collect())) for f in files)
+    assert one == two and [r[1] for r in one] == [sum(r[2] for r in one[:i]) for i in range(400)]
+    reading = tokenfile.read(files[0])
+    assert reading.rdd.getNumPartitions() >= files[0].count()
