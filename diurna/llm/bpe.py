@@ -6,13 +6,14 @@
    that fall into the same bucket). A task owns its words alone and encodes each once.
 3. The ids go back to their blocks and the documents are reassembled by position.
 
-Decoding joins the token-byte table: ids select rows of an array of byte strings.
+Decoding joins the token-byte table: the vocabulary, of fixed size, is held by every worker as an array
+of byte strings whose rows the ids select, so that ids are neither exploded nor shuffled.
 
 A word frequent in the corpus costs one entry in each block, however often it occurs, so no key is
 hot. Blocks are named by a digest of their content: if a lost executor makes Spark repeat a task,
 its rows fit whichever of its attempts the others come from.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows and null or
+Defined cases: a null or empty text has no ids and decodes to no bytes; a very long text is a block of its own; repeated rows and null or
 repeated doc_id values are encoded row by row; extra columns are ignored; an empty table gives an
 empty result.
 """
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 
 from .textcore import SLICE_BYTES, binary_array, flat, gather, pretokens, slices
 
+#: Words whose ids a task remembers; when full it starts anew.
+REMEMBERED = 1_000_000
+
 
 @functools.cache
 def ranks(path: str) -> dict[bytes, int]:
@@ -137,6 +141,8 @@ def encoded(path: str, pattern: str):
                     at += size
                     ids = known.get(word)
                     if ids is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
                         ids = known[word] = encode(word.decode("utf-8", "replace"))
                     out.append(ids)
                 lengths = np.fromiter(map(len, out), "<u4", len(out))
