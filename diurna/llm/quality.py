@@ -4,11 +4,16 @@ Every line gets features of its own and of the lines beside it. A two-state chai
 good or bad; forward-backward gives the probability of good for every line, and the mean over lines
 weighted by their lengths is the document's score.
 
-Labels are known for documents only, so a line is taught its document's label. The chain is fitted
-on at most TRAIN_DOCS labelled documents, those with the smallest hashes of their doc_id (a sample
-independent of content and order), with whole texts; scoring covers every line of every document.
+Labels are known for documents only, so those of lines are latent: they are taught the chain's own
+posterior, tilted by the least amount with which the mean over a document's lines, weighted by length,
+agrees with its label by TAUGHT. A good line in a bad document can so stay good. Gradients of features
+and of transitions are of one objective, in which documents count alike and labels as much as each other.
 
-Defined cases: a null or empty text is one empty line; repeated rows get equal scores; a row whose
+The chain is fitted on at most TRAIN_DOCS labelled documents of TRAIN_LINES lines together, those with
+the smallest hashes of their doc_id (a sample independent of content and order), with whole texts;
+scoring covers every line of every document.
+
+Defined cases: an empty table gives an empty result; very long texts are scored whole; a null or empty text is one empty line; repeated rows get equal scores; a row whose
 text repeats is scored as often as it occurs; extra columns are ignored; without any label of either
 kind the score is 0.5. Of several labels for one document the smallest counts.
 """
@@ -22,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .textcore import LETTER, NUMBER, SPACE, classes, code_points, flat, slices
 
 #: Bound of the sample that the chain is fitted on.
-TRAIN_DOCS = 2000
-ROUNDS = 150
+TRAIN_DOCS, TRAIN_LINES = 2000, 1 << 19
+#: Steps of the ascent; the first WARM teach all lines their document's label, then posteriors are taken anew every RETAUGHT.
+ROUNDS, WARM, RETAUGHT = 150, 40, 20
+#: How much of a document its lines' posteriors must make of its label.
+TAUGHT = 0.95
 #: Bytes of text whose lines are measured at once; the arrays for it take about forty times as much.
 SLICE_BYTES = 1 << 20
 #: From this score on a document counts as good.
@@ -131,9 +140,10 @@ def with_neighbours(own: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return np.concatenate([own, before, after, edge], axis=1)
 
 
-def chain(emit: np.ndarray, trans: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chain(emit: np.ndarray, trans: np.ndarray, lines: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Probability of good for each line, and expected transitions (2 x 2), by forward-backward.
 
+    With a weight for each line, transitions count by that of their first line.
     All chains step together, longest first, so that step t is one operation on those that reach it.
     """
     order = np.argsort(-lines, kind="stable")
@@ -160,32 +170,61 @@ def chain(emit: np.ndarray, trans: np.ndarray, lines: np.ndarray) -> tuple[np.nd
         bwd[at] -= bwd[at].max(axis=1, keepdims=True)
         pair = fwd[at][:, :, None] + p
         pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True))
-        moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        pair /= pair.sum(axis=(1, 2), keepdims=True)
+        moves += (pair if weight is None else pair * weight[at][:, None, None]).sum(axis=0)
     both = fwd + bwd
     both = np.exp(both - both.max(axis=1, keepdims=True))
     return both[:, 1] / both.sum(axis=1), moves
 
 
+def taught(emit: np.ndarray, trans: np.ndarray, lines: np.ndarray, lengths: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of the lines given their documents' labels, and their transitions; see the module."""
+    first = np.cumsum(lines) - lines
+    total = np.add.reduceat(lengths, first)
+    side = np.where(label == 1, 1.0, -1.0)
+
+    def tilted(tilt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = emit.copy()
+        both[:, 1] += np.repeat(tilt * side, lines)
+        return chain(both, trans, lines, weight)
+
+    def agrees(good: np.ndarray) -> np.ndarray:
+        share = np.add.reduceat(good * lengths, first) / total
+        return np.where(label == 1, share, 1 - share) >= TAUGHT
+
+    low, high = np.zeros(len(lines)), np.full(len(lines), 32.0)
+    high[agrees(tilted(low)[0])] = 0.0
+    for _ in range(10):
+        middle = (low + high) / 2
+        enough = agrees(tilted(middle)[0])
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    return tilted(high)
+
+
 def fit(own: np.ndarray, lengths: np.ndarray, lines: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights of the chain by gradient ascent on the likelihood of the taught line labels."""
+    """Weights of the chain by gradient ascent, with latent labels of lines."""
     mean, sd = own.mean(axis=0), own.std(axis=0) + 1e-6
     x = with_neighbours((own - mean) / sd, lines)
-    y = np.repeat(label, lines).astype(np.float64)
     # each document counts alike, however many lines it has, and either label as much as the other
     share = np.where(label == 1, 0.5 / max((label == 1).sum(), 1), 0.5 / max((label == 0).sum(), 1))
     weight = np.repeat(share / lines, lines)
     w, trans = np.zeros((x.shape[1] + 1, 2)), np.zeros((2, 2))
     x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    y = np.repeat(label, lines).astype(np.float64)
     inside = np.ones(len(x), bool)
     inside[np.cumsum(lines) - lines] = False
+    at = np.flatnonzero(inside)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[np.flatnonzero(inside) - 1].astype(int), y[inside].astype(int)), 1)
+    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), weight[at - 1])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))]
     for k in range(1, ROUNDS + 1):
-        good, moves = chain(x1 @ w, trans, lines)
+        emit = x1 @ w
+        if k > WARM and (k - WARM - 1) % RETAUGHT == 0:
+            y, seen = taught(emit, trans, lines, lengths, label, weight)
+        good, moves = chain(emit, trans, lines, weight)
         error = weight * (y - good)
         gw = np.stack([-(x1.T @ error), x1.T @ error], axis=1) - 1e-4 * w
-        gt = (seen - moves) / max(inside.sum(), 1) - 1e-3 * trans
+        gt = seen - moves - 1e-4 * trans
         for i, (value, g) in enumerate(((w, gw), (trans, gt))):
             m, v = state[2 * i], state[2 * i + 1]
             m += 0.1 * (g - m)
@@ -206,17 +245,27 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
                 own, lengths, lines = line_features(*flat(part.column("text")))
                 flat_own = pa.array(np.concatenate([own, lengths[:, None]], axis=1).astype(np.float32).ravel())
                 ends = np.append(0, np.cumsum(lines)) * (OWN + 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_own)], ["doc_id", "quality", "f"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), part.column("quality"), pa.array(lines), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_own)], ["doc_id", "hash", "quality", "lines", "f"])
 
     # the sample has at most TRAIN_DOCS rows of two numbers, so it is broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(taught), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, f array<float>").collect()
-    rows.sort(key=lambda r: (r.doc_id, len(r.f)))
-    if len({r.quality for r in rows}) < 2:
+    texts = texts.join(F.broadcast(taught), "doc_id").select("doc_id", F.xxhash64("text").alias("hash"), "quality", "text")
+    rows = written(texts.mapInArrow(run, "doc_id long, hash long, quality int, lines long, f array<float>"))
+    # of repeated ids one text counts; documents that would exceed the bound of lines are left out
+    sizes, fits, room = rows.groupBy("doc_id").agg(F.min(F.struct("hash", "lines")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").collect(), [], TRAIN_LINES
+    for doc_id, (digest, lines) in sizes:
+        if lines <= room:
+            fits.append((doc_id, digest))
+            room -= lines
+    if not fits:
+        return None
+    fits = F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long, hash long"))
+    table = rows.join(fits, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    quality = table.column("quality").to_numpy()
+    if len(set(quality.tolist())) < 2:
         return None
-    x = np.concatenate([np.array(r.f, np.float64).reshape(-1, OWN + 1) for r in rows])
-    lines = np.array([len(r.f) // (OWN + 1) for r in rows])
-    return fit(x[:, :OWN], x[:, OWN], lines, np.array([r.quality for r in rows]))
+    x = table.column("f").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, OWN + 1)
+    return fit(x[:, :OWN], x[:, OWN], table.column("lines").to_numpy(), quality)
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, keep: bool = False) -> DataFrame:

@@ -115,3 +115,37 @@ def test_sample_is_that_of_the_smallest_hashes(spark, monkeypatch):
     for lang in "ab":
         expected = sorted((r.h, r.doc_id) for r in taught if r.lang == lang)[:5]
         assert sorted(r.doc_id for r in seen[-1].where(F.col("lang") == lang).collect()) == sorted(d for _, d in expected)
+
+
+def test_line_labels_are_latent_and_the_sample_is_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(12)) + "."
+    bad = lambda: " ".join("$#%*" for _ in range(12))
+    texts = [("\n".join(good() for _ in range(8)), 1) for _ in range(60)] + [("\n".join([good(), *(bad() for _ in range(9)), good()]), 0) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(texts)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: seen.append(a) or fit(*a))
+    model = quality.train(docs.unionByName(docs), labels)
+    lines = {(r.doc_id, r.line): r.good for r in quality.line_labels(docs, model).collect()}
+    inner, outer = [lines[i, 4] for i in range(60, 120)], [lines[i, 0] for i in range(60, 120)]
+    assert np.mean(inner) < 0.05 and np.mean(outer) > np.mean(inner) and min(lines[i, 4] for i in range(60)) > 0.7
+    assert len(seen[0][2]) == docs.where(~quality.held_out(F.col("doc_id"))).count()  # repeated rows count once
+    monkeypatch.setattr(quality, "TRAIN_LINES", 200)
+    quality.train(docs, labels)
+    assert 0 < seen[1][2].sum() <= 200
+
+
+def test_gradient_is_that_of_one_objective():
+    """Posteriors of a chain that already agrees with the labels leave nothing to learn."""
+    rng = np.random.default_rng(2)
+    lines, label = np.array([3, 1, 4]), np.array([1, 0, 1])
+    emit, trans = rng.normal(size=(8, 2)) + 9 * np.repeat(np.stack([1 - label, label], 1), lines, axis=0), rng.normal(size=(2, 2))
+    weight = np.repeat(rng.random(3), lines)
+    y, seen = quality.taught(emit, trans, lines, np.ones(8), label, weight)
+    good, moves = quality.chain(emit, trans, lines, weight)
+    assert np.allclose(y, good) and np.allclose(seen, moves)
+    y, _ = quality.taught(emit, trans, lines, np.ones(8), 1 - label, weight)
+    share = np.add.reduceat(y, [0, 3, 4]) / lines
+    assert np.allclose(np.where(label == 0, share, 1 - share), quality.TAUGHT, atol=0.03)
