@@ -5,16 +5,20 @@
 2. Only windows that hold enough shingles of items of their size can be similar to one. So the rolling
    shingle hashes of all texts are joined to the items' shingles, and every start whose window has
    that many hits, in whatever order, gets a window. No other window can pass the check in 4.
-3. Windows and items get 64-bit SimHashes. Fingerprints within RADIUS bits agree in at least one of
-   RADIUS + 1 blocks, so a join on size, block number and block value finds all of them.
+3. Windows and items get 64-bit SimHashes, cut into BLOCKS blocks. Of fingerprints within RADIUS bits
+   at least one block differs in no more than RADIUS // BLOCKS bits. Items enter the index with every
+   value that a block can take so, windows look up their own values: a join on size, block number and
+   block value finds all within the radius, and of others about one in five.
 4. Candidates are verified exactly: the weighted Jaccard similarity of the two bags of shingles
    (least over greatest number of times, summed) must reach SIMILARITY.
 
 Items are few, so their tables are broadcast if they are counted to be small; otherwise they are
-shuffled. So are the starts; texts are shuffled only if there are too many starts to broadcast. RADIUS is so wide that a pair at the similarity is beyond it with
-a chance of about one in two thousand (64 bits, 27 degrees).
+shuffled. So are the starts; texts are shuffled only if there are too many starts to broadcast. RADIUS
+is so wide that a pair at the similarity is beyond it with a chance of about one in two thousand (64
+bits, 27 degrees).
 
-Defined cases: null and empty texts and items without words take no part; an item with fewer words
+Defined cases: without documents nothing is found; very long texts are searched whole; of windows of
+equal similarity the first counts; null and empty texts and items without words take no part; an item with fewer words
 than a shingle is one shingle; a text shorter than an item is one window; texts equal in doc_id and
 content count once; extra columns are ignored; without items nothing is found.
 """
@@ -22,6 +26,7 @@ content count once; extra columns are ignored; without items nothing is found.
 from __future__ import annotations
 
 # Generators here are outer ones, as for others Spark derives a filter that repeats the tokenising below them.
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +38,9 @@ from .words import rolling, small
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F]+"
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 19
+RADIUS, BLOCKS = 19, 5
+#: Bits at which the blocks begin, and the end.
+CUTS = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 
 
 def words_of(text: Column) -> Column:
@@ -53,11 +60,24 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, bit: F.when(2 * ones(bit) > F.size(hashes), acc.bitwiseOR(bit)).otherwise(acc))
 
 
-def blocks(fp: Column) -> Column:
-    """(number, value) of RADIUS + 1 stretches of the bits."""
-    n = RADIUS + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+def blocks(fp: Column) -> list[Column]:
+    """The values of the blocks."""
+    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(CUTS, CUTS[1:], strict=False)]
+
+
+def looked_up(fp: Column) -> Column:
+    """(block, value) of every block, as a window looks them up."""
+    return F.array(*(F.struct(F.lit(k).alias("block"), v.alias("value")) for k, v in enumerate(blocks(fp))))
+
+
+def entered(fp: Column) -> Column:
+    """(block, value) for every value within RADIUS // BLOCKS bits of a block, as an item enters the index."""
+
+    def of(k: int, value: Column, bits: int) -> Column:
+        masks = [sum(1 << i for i in flips) for n in range(RADIUS // BLOCKS + 1) for flips in itertools.combinations(range(bits), n)]
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
+
+    return F.concat(*(of(k, v, b - a) for k, (v, a, b) in enumerate(zip(blocks(fp), CUTS, CUTS[1:], strict=False))))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -89,7 +109,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, first_word, n_words, distance, similarity): the best window of each text for each item."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
     # what others build on is written once, as Spark would repeat such expressions wherever they are used
-    items = written(items.where(F.size("words") > 0).select("item_id", F.size("words").alias("n"), shingles(F.col("words")).alias("bag")))
+    items = items.where(F.size("words") > 0).select("item_id", F.size("words").alias("n"), shingles(F.col("words")).alias("bag"))
+    items = written(items.withColumn("item", F.monotonically_increasing_id()))
     places = items.select("n", F.explode_outer("bag").alias("hash")).distinct()
     n_places = items.agg(F.sum(F.size("bag"))).first()[0] or 0
     # short items are whole windows of their own few words
@@ -102,7 +123,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     guarded = [F.transform(shingles(own), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), *(F.when(F.size(own) >= n, whole(n)).otherwise(none) for n in short)]
     runs = texts.select("doc_id", "text_hash", F.size("own").alias("length"), reduce(F.concat, guarded).alias("runs")).select("doc_id", "text_hash", "length", F.explode_outer("runs").alias("r")).select("doc_id", "text_hash", "length", "r.at", "r.hash")
 
-    hit = runs.join(small(places, n_places), "hash")
+    hit = runs.join(small(places, n_places, 24), "hash")
     dense = hit.groupBy("doc_id", "text_hash", "n").agg(F.array_sort(F.collect_set("at")).alias("places"), F.first("length").alias("length"))
     dense = dense.select("doc_id", "text_hash", "n", starts(F.col("places"), F.col("n"), F.col("length")).alias("starts"))
     dense = written(dense.where(F.size("starts") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), "n", "starts"))
@@ -112,18 +133,21 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     held = written(held.select("doc_id", "text_hash", "n", "starts", words_of(F.col("text")).alias("own")))
     cut = F.transform("starts", lambda s: F.struct(s.alias("first_word"), F.slice("own", s + 1, F.col("n")).alias("words")))
     windows = held.select("doc_id", "text_hash", "n", F.inline_outer(cut)).dropDuplicates(["doc_id", "text_hash", "n", "first_word"])
-    windows = written(windows.select("doc_id", "text_hash", "n", "first_word", shingles(F.col("words")).alias("bag")))
-
-    prints = written(items.select("item_id", "n", F.col("bag").alias("item_bag"), simhash(F.col("bag")).alias("item_fp")))
-    prints = prints.select("*", F.inline_outer(blocks(F.col("item_fp"))))
-    n_items = items.count()
-    found = written(windows.withColumn("fp", simhash(F.col("bag")))).select("*", F.inline_outer(blocks(F.col("fp"))))
-    pairs = found.join(small(prints, n_items * (RADIUS + 1)), ["n", "block", "value"])
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    # a pair that agrees in several blocks is kept once, at the first of them
-    agree = F.transform(F.arrays_zip(blocks(F.col("fp")).alias("a"), blocks(F.col("item_fp")).alias("b")), lambda z: z["a"]["value"] == z["b"]["value"])
-    first = F.array_position(agree, True) - 1
-    pairs = pairs.where((distance <= RADIUS) & (first == F.col("block"))).withColumn("distance", distance)
+    windows = windows.select("doc_id", "text_hash", "n", "first_word", shingles(F.col("words")).alias("bag"))
+    windows = written(windows.withColumn("window", F.monotonically_increasing_id()))
+
+    prints = written(items.select("item", "n", simhash(F.col("bag")).alias("item_fp")))
+    index = written(prints.select("*", F.inline_outer(entered(F.col("item_fp")))))
+    found = written(windows.select("window", "n", simhash(F.col("bag")).alias("fp")))
+    pairs = found.select("*", F.inline_outer(looked_up(F.col("fp")))).join(small(index, index.count(), 40), ["n", "block", "value"])
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    # a pair that meets in several blocks is kept once, at the first of them
+    first = F.array_position(F.array(*(F.bit_count(v) <= RADIUS // BLOCKS for v in blocks(apart))), True) - 1
+    pairs = pairs.where((F.bit_count(apart) <= RADIUS) & (first == F.col("block"))).select("window", "item", F.bit_count(apart).alias("distance"))
+    # bags follow only now, to pairs that are left
+    bags = items.select("item", "item_id", F.col("bag").alias("item_bag"))
+    width = 8 * (items.agg(F.max(F.size("bag"))).first()[0] or 0) + 32
+    pairs = pairs.join(windows, "window").join(small(bags, items.count(), width), "item")
     pairs = pairs.withColumn("similarity", similarity(F.col("bag"), F.col("item_bag"))).where(F.col("similarity") >= SIMILARITY)
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("back"), "n", "distance")).alias("b")
     out = pairs.groupBy("doc_id", "text_hash", "item_id").agg(best)

@@ -30,9 +30,10 @@ def rolling(words: Column, k: int) -> Column:
     return F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, k))))
 
 
-def small(table: DataFrame, rows: int) -> DataFrame:
-    """The table, marked for broadcast if it has few enough rows."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+def small(table: DataFrame, rows: int, width: int | None = None) -> DataFrame:
+    """The table, marked for broadcast if it has few enough rows; if no row is wider than `width` bytes, few enough bytes."""
+    few = rows <= BROADCAST_ROWS if width is None else rows * width <= BROADCAST_BYTES
+    return F.broadcast(table) if few else table
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str]) -> DataFrame:

@@ -1,11 +1,13 @@
 """Decontamination, URL filters, surrogates and licences against brute force and by hand."""
 
+import random
 import re
 from collections import Counter
 from datetime import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from diurna.llm import decontam, licences, urls
 
@@ -54,6 +56,29 @@ def test_contamination(spark, odd, nothing):
     assert decontam.clean(odd, i).columns == odd.columns
 
 
+def test_blocks_meet_within_the_radius(spark):
+    rng = random.Random(1)
+    pairs = []
+    for distance in range(decontam.RADIUS + 1):
+        for _ in range(30):
+            a = rng.getrandbits(64)
+            pairs.append((a, a ^ sum(1 << i for i in rng.sample(range(64), distance))))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a long, b long").repartition(4)
+    met = F.arrays_overlap(decontam.looked_up(F.col("a")), decontam.entered(F.col("b")))
+    assert df.where(~met).count() == 0
+    far = [(signed(rng.getrandbits(64)), signed(rng.getrandbits(64))) for _ in range(600)]
+    assert spark.createDataFrame(far, "a long, b long").where(met).count() < 200
+
+
+def test_items_equal_in_id_and_unknown_documents(spark):
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(None, " ".join(words)), (1, " ".join(words)), (1, " ".join(words)), (1, "x " + " ".join(words[:29]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (1, "quite another item of eight words it is"), (None, " ".join(words))], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, round(r.similarity, 3)) for r in decontam.matches(docs, items).collect()), key=str)
+    assert got == sorted([(d, i, x) for i in (1, None) for d, x in ((None, 1.0), (1, 1.0), (1, round(25 / 27, 3)))], key=str)
+
+
 def test_reordered_passages_inside_longer_texts(spark):
     words = [f"w{i}" for i in range(60)]
     around = lambda w: " ".join([f"a{i}" for i in range(25)] + w + [f"z{i}" for i in range(25)])
