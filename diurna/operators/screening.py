@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +117,10 @@ def bh_adjusted(tests: DataFrame, p: str = "p", partition: list[str] | None = No
 
 
 def dunn(values: DataFrame, group: str = "outcome") -> DataFrame:
-    """(feature, a, b, z, p, q) for all pairs of groups, with the tie term, adjusted within each feature."""
+    """(feature, a, b, z, p, q) for all pairs of groups, with the tie term, adjusted within each feature.
+
+    p is one-sided, the chance of a z at least as far out on its side.
+    """
     ranked = values.where("x is not null").withColumn("r", average_rank(["feature"], "x")).withColumn("ties", F.count("*").over(Window.partitionBy("feature", "x")))
     means = ranked.groupBy("feature", F.col(group).alias("g")).agg(F.avg("r").alias("mean"), F.count("*").alias("m"))
     whole = ranked.groupBy("feature").agg(F.count("*").alias("n"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
@@ -125,21 +130,60 @@ def dunn(values: DataFrame, group: str = "outcome") -> DataFrame:
     variance = (n * (n + 1) / 12 - F.col("t") / (12 * (n - 1))) * (1 / F.col("m_a") + 1 / F.col("m_b"))
     both = both.select("feature", "a", "b", F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(variance)).alias("z"))
     # two-sided tail of the normal distribution is that of its square
-    return bh_adjusted(both.withColumn("p", _chi2(F.col("z") * F.col("z"), F.lit(1))), "p", ["feature"])
+    return bh_adjusted(both.withColumn("p", _chi2(F.col("z") * F.col("z"), F.lit(1)) / 2), "p", ["feature"])
+
+
+def wilcoxon_pairs(values: DataFrame, group: str = "outcome") -> DataFrame:
+    """(feature, a, b, w, p, q): rank-sum tests of all pairs of groups, in place of Dunn's.
+
+    By the normal distribution with correction for ties and continuity; two-sided, adjusted within each
+    feature. A pair whose values are all equal has no p.
+    """
+    rows = values.where("x is not null").select("feature", F.col(group).alias("g"), "x")
+    names = rows.select("feature", "g").distinct()
+    pairs = names.withColumnRenamed("g", "a").join(names.withColumnRenamed("g", "b"), "feature").where("a < b")
+    both = rows.join(pairs, "feature").where((F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))
+    pair = ["feature", "a", "b"]
+    both = both.withColumn("r", average_rank(pair, "x")).withColumn("ties", F.count("*").over(Window.partitionBy(*pair, "x")))
+    own = F.col("g") == F.col("a")
+    tests = both.groupBy(*pair).agg(F.sum(F.when(own, F.col("r"))).alias("s"), F.count_if(own).alias("na"), F.count_if(~own).alias("nb"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
+    na, nb, n = F.col("na"), F.col("nb"), F.col("na") + F.col("nb")
+    w = F.col("s") - na * (na + 1) / 2
+    away = w - na * nb / 2
+    z = F.try_divide(away - F.signum(away) * 0.5, F.sqrt(na * nb / 12 * ((n + 1) - F.col("t") / (n * (n - 1)))))
+    tests = tests.select(*pair, w.alias("w"), z.alias("z"))
+    tests = tests.withColumn("p", F.when(F.col("z").isNotNull(), _chi2(F.col("z") * F.col("z"), F.lit(1)))).drop("z")
+    return bh_adjusted(tests, "p", ["feature"])
 
 
 def bootstrap_medians(values: DataFrame, group: list[str], rounds: int = 2000, level: float = 0.95, seed: int = 26) -> DataFrame:
-    """(group, median, low, high) by resampling; fewer than three values give no bounds. Draws follow from hashes."""
+    """(group, median, low, high) by resampling; fewer than three values give their median and no bounds.
+
+    A resample's sorted places are those of sorted uniform numbers, so its middle places are drawn from
+    the distributions of the middle order statistics alone: two numbers a round, however many values.
+    """
     n = F.count("*").over(Window.partitionBy(*group))
     place = F.row_number().over(Window.partitionBy(*group).orderBy("x"))
-    known = values.where("x is not null").select(*group, "x", n.alias("n"), (place - 1).alias("at"))
-    whole = known.groupBy(*group).agg(F.percentile("x", F.lit(0.5)).alias("median"), F.max("n").alias("n"))
-    draws = whole.where("n >= 3").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    draws = draws.select(*group, "round", F.pmod(F.xxhash64(F.lit(seed), *group, "round", "draw"), F.col("n")).alias("at"))
-    medians = draws.join(known, [*group, "at"]).groupBy(*group, "round").agg(F.percentile("x", F.lit(0.5)).alias("m"))
+    known = values.where("x is not null and not isnan(x)").select(*group, "x", n.alias("n"), (place - 1).alias("at"))
+    whole = known.groupBy(*group).agg(F.percentile("x", F.lit(0.5)).alias("own"), F.max("n").alias("n"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (n, key) in enumerate(zip(batch.column("n").to_pylist(), batch.column("key").to_pylist(), strict=True)):
+                rng = np.random.default_rng((key % 2**64, seed))
+                middle = (n + 1) // 2
+                low = rng.beta(middle, n - middle + 1, rounds)
+                high = low if n % 2 else low + (1 - low) * rng.beta(1, n - middle, rounds)
+                at = np.minimum((np.concatenate([low, high]) * n).astype(np.int64), n - 1)
+                names = [batch.column(g).take(pa.array(np.full(2 * rounds, i))) for g in group]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(np.tile(np.arange(rounds, dtype=np.int32), 2)), pa.array(at)], [*group, "round", "at"])
+
+    kinds = ", ".join(f"`{g}` {whole.schema[g].dataType.simpleString()}" for g in group)
+    draws = whole.where("n >= 3").select(*group, "n", F.xxhash64(*group).alias("key")).mapInArrow(draw, f"{kinds}, round int, at long")
+    medians = draws.join(known, [*group, "at"]).groupBy(*group, "round").agg(F.avg("x").alias("m"))
     tail = (1 - level) / 2
-    bounds = medians.groupBy(*group).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("b"))
-    return whole.join(bounds, group, "left").select(*group, "median", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    bounds = medians.groupBy(*group).agg(F.percentile("m", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail))).alias("b"))
+    return whole.join(bounds, group, "left").select(*group, F.coalesce(F.col("b")[1], "own").alias("median"), F.col("b")[0].alias("low"), F.col("b")[2].alias("high"))
 
 
 def jaccard(sets: DataFrame, key: str, member: str) -> DataFrame:
@@ -158,26 +202,63 @@ def selection_frequency(sets: DataFrame, key: str, member: str, least: int) -> D
     return sets.groupBy(member).agg(F.count_distinct(key).cast("long").alias("folds")).withColumn("stable", F.col("folds") >= least)
 
 
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction; in logarithms, so that a and b may be large."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):  # the fraction converges fast on the other side
+        return 1 - beta_cdf(1 - x, b, a)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    total, m = d, 1
+    while True:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            d, c = 1 / (1 + term * d or tiny), 1 + term / c or tiny
+            total *= c * d
+        if abs(c * d - 1) < 1e-14:
+            return min(1.0, front * total)
+        m += 1
+
+
+def _root(f, low: float, high: float) -> float:
+    """Where a rising function passes 0."""
+    for _ in range(200):
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        low, high = (low, middle) if f(middle) > 0 else (middle, high)
+    return (low + high) / 2
+
+
 def binomial_interval(hits: int, n: int, level: float = 0.95) -> tuple[float, float]:
-    """Exact interval of a proportion, by bisection on the binomial tails."""
-
-    def tail(p: float, k: int, upper: bool) -> float:
-        ks = range(k, n + 1) if upper else range(0, k + 1)
-        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in ks)
-
-    def solve(f) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(80):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if f(mid) else (lo, mid)
-        return (lo + hi) / 2
-
-    a = (1 - level) / 2
-    low = 0.0 if hits == 0 else solve(lambda p: tail(p, hits, True) < a)
-    high = 1.0 if hits == n else solve(lambda p: tail(p, hits, False) > a)
+    """Exact interval of a proportion, from quantiles of the beta distribution; of no trials the whole range."""
+    tail = (1 - level) / 2
+    low = 0.0 if hits == 0 else _root(lambda p: beta_cdf(p, hits, n - hits + 1) - tail, 0.0, 1.0)
+    high = 1.0 if hits == n else _root(lambda p: beta_cdf(p, hits + 1, n - hits) - (1 - tail), 0.0, 1.0)
     return low, high
 
 
+def t_quantile(p: float, df: int) -> float:
+    """The value that a t distribution stays below with chance p, for p over a half."""
+    return _root(lambda t: 1 - beta_cdf(df / (df + t * t), df / 2, 0.5) / 2 - p, 0.0, 1e9)
+
+
+def mean_intervals(values: DataFrame, column: str, group: list[str] | None = None, level: float = 0.95) -> DataFrame:
+    """(group, n, mean, low, high): the t interval of a mean, as of accuracies over folds. One value gives no bounds."""
+    found = values.where(F.col(column).isNotNull()).groupBy(*(group or [])).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
+
+    @F.pandas_udf("double")
+    def factor(n: pd.Series) -> pd.Series:
+        known = {k: t_quantile(1 - (1 - level) / 2, int(k) - 1) if k > 1 else None for k in n.unique()}
+        return n.map(known).astype("float64")
+
+    half = factor("n") * F.col("sd") / F.sqrt("n")
+    return found.select(*(group or []), "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
 def confusion(predictions: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     return predictions.groupBy(actual, predicted).agg(F.count("*").alias("n"))
 

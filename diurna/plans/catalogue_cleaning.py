@@ -206,16 +206,16 @@ def h03(spark, d):
     return merging.on_both_platforms(dev.where("device_type = 'android'"), dev.where("device_type = 'ios'"))
 
 
-DAYS = "dd AS (SELECT DISTINCT participantid, CAST(ts AS DATE) AS d FROM ev WHERE event_id % 5 = 0)"
+DAYS = "dd AS (SELECT DISTINCT participantid, CAST(ts AS DATE) AS d FROM ev)"
 
 
 def _days(spark, d):
-    return views.events(spark, d).where("event_id % 5 = 0").select("participantid", F.to_date("measuredat").alias("date_local")).distinct()
+    return views.events(spark, d).select("participantid", F.to_date("measuredat").alias("date_local")).distinct()
 
 
-@query("d08_min_days", f"WITH {EV}, {DAYS} SELECT participantid, strftime(d, '%Y-%m-%d') AS date_local FROM dd WHERE participantid IN (SELECT participantid FROM dd GROUP BY 1 HAVING count(DISTINCT d) >= 10)")
+@query("d08_min_days", f"WITH {EV}, {DAYS} SELECT participantid, strftime(d, '%Y-%m-%d') AS date_local FROM dd WHERE participantid IN (SELECT participantid FROM dd GROUP BY 1 HAVING count(DISTINCT d) >= 27)")
 def d08(spark, d):
-    return merging.with_enough_days(_days(spark, d), 10)
+    return merging.with_enough_days(_days(spark, d), 27)
 
 
 @query("e11_days_per_participant", f"WITH {EV}, {DAYS} SELECT participantid, count(DISTINCT d) AS n FROM dd GROUP BY 1 HAVING count(DISTINCT d) >= 5")
@@ -296,9 +296,9 @@ def h04(spark, d):
     return e.where("user_id % 2 = 1").select("participantid").subtract(e.where("user_id % 3 = 0").select("participantid"))
 
 
-@query("h05_folded_sets", f"WITH {EV}, s AS (SELECT DISTINCT participantid, et FROM ev WHERE event_id % 4 = 0) SELECT participantid, count(*) AS n FROM s GROUP BY 1")
+@query("h05_folded_sets", f"WITH {EV}, s AS (SELECT DISTINCT participantid, et FROM ev) SELECT participantid, count(*) AS n FROM s GROUP BY 1")
 def h05(spark, d):
-    sets = views.events(spark, d).where("event_id % 4 = 0").groupBy("participantid").agg(F.collect_set("event_type").alias("s"))
+    sets = views.events(spark, d).groupBy("participantid").agg(F.collect_set("event_type").alias("s"))
     folded = F.aggregate(F.array("s", "s"), F.array().cast("array<string>"), lambda acc, x: F.array_union(acc, x))
     return sets.select("participantid", F.size(folded).alias("n"))
 

@@ -93,33 +93,69 @@ def m09(spark, d):
     return screening.spearman(outcome_values(spark, d))
 
 
-@query("m10_feature_clusters")
+#: Three features: the nearest two are merged if near enough, then the third if the mean of its distances is.
+CLUSTERS = f"""{LONG}, ov AS (SELECT participantid, feature, avg(x) AS x FROM lv GROUP BY 1, 2), pr AS (SELECT a.feature AS a, b.feature AS b, a.x AS xa, b.x AS xb FROM ov a JOIN ov b USING (participantid) WHERE a.feature < b.feature),
+rr AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY xa) + (count(*) OVER (PARTITION BY a, b, xa) - 1) / 2 AS ra, rank() OVER (PARTITION BY a, b ORDER BY xb) + (count(*) OVER (PARTITION BY a, b, xb) - 1) / 2 AS rb FROM pr),
+ds AS (SELECT a, b, 1 - abs(corr(ra, rb)) AS d FROM rr GROUP BY 1, 2),
+mg AS (SELECT arg_min(a, d) AS a, arg_min(b, d) AS b, min(d) AS d1, (sum(d) - min(d)) / 2 AS d2 FROM ds),
+ft AS (SELECT * FROM (VALUES ('total', 0), ('level', 1), ('n', 2)) v(feature, place)),
+rt AS (SELECT feature, place, CASE WHEN d1 <= 0.5 AND d2 <= 0.5 THEN 0 WHEN d1 <= 0.5 AND feature IN (a, b) THEN (SELECT min(place) FROM ft f WHERE f.feature IN (a, b)) ELSE place END AS root FROM ft, mg),
+cl AS (SELECT feature, place, root, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM rt)"""
+
+
+@query("m10_feature_clusters", f"WITH {CLUSTERS} SELECT feature, cluster, place = root AS representative FROM cl")
 def m10(spark, d):
     features = ["total", "level", "n"]
     numbers = screening.clusters(screening.spearman(outcome_values(spark, d)).toPandas(), features, 0.5)
     return spark.createDataFrame([(f, numbers[f], f in screening.representatives(numbers, features)) for f in features], "feature string, cluster int, representative boolean")
 
 
-@query("f10_first_of_cluster")
+@query("f10_first_of_cluster", f"WITH {CLUSTERS} SELECT feature, cluster FROM cl WHERE place = root")
 def f10(spark, d):
     return m10(spark, d).where("representative").select("feature", "cluster")
 
 
-@query("m12_dunn")
+#: The error function by its series.
+ERF = "1.1283791670955126 * list_sum(list_transform(range(0, 120), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * exp((2 * i + 1) * ln(greatest({0}, 1e-12)) - lgamma(i + 1)) / (2 * i + 1)))"
+BH = "least(1, min(p * m / place) OVER (PARTITION BY feature ORDER BY place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+
+
+@query(
+    "m12_dunn",
+    f"""WITH {RANKED}, mn AS (SELECT feature, outcome, avg(r) AS mean, count(*) AS m FROM rk GROUP BY 1, 2), wh AS (SELECT feature, count(*) AS n, sum(ties * ties - 1) AS t FROM rk GROUP BY 1),
+zs AS (SELECT a.feature, a.outcome AS a, b.outcome AS b, (a.mean - b.mean) / sqrt((n * (n + 1) / 12 - t / (12 * (n - 1))) * (1 / a.m + 1 / b.m)) AS z FROM mn a JOIN mn b ON a.feature = b.feature AND a.outcome < b.outcome JOIN wh ON wh.feature = a.feature),
+ps AS (SELECT *, (1 - {ERF.format('(abs(z) / sqrt(2))')}) / 2 AS p FROM zs), pn AS (SELECT *, count(*) OVER (PARTITION BY feature) AS m, row_number() OVER (PARTITION BY feature ORDER BY p) AS place FROM ps)
+SELECT feature, a, b, round(z, 4) AS z, round(p, 4) AS p, round({BH}, 4) AS q FROM pn""",
+)
 def m12(spark, d):
     return screening.dunn(outcome_values(spark, d))
 
 
+@query(
+    "m12_wilcoxon_pairs",
+    f"""WITH {RANKED.split(', ov AS')[0]}, ov AS (SELECT participantid, feature, avg(x) AS x, CAST(CAST(participantid AS BIGINT) % 3 AS VARCHAR) AS outcome FROM lv GROUP BY 1, 2),
+ab AS (SELECT * FROM (VALUES ('0', '1'), ('0', '2'), ('1', '2')) v(a, b)), rw AS (SELECT feature, a, b, outcome, x FROM ov JOIN ab ON outcome IN (a, b)),
+rr AS (SELECT *, rank() OVER (PARTITION BY feature, a, b ORDER BY x) + (count(*) OVER (PARTITION BY feature, a, b, x) - 1) / 2 AS r, count(*) OVER (PARTITION BY feature, a, b, x) AS ties FROM rw),
+ts AS (SELECT feature, a, b, sum(r) FILTER (outcome = a) AS s, count(*) FILTER (outcome = a) AS na, count(*) FILTER (outcome = b) AS nb, sum(ties * ties - 1) AS t FROM rr GROUP BY 1, 2, 3),
+zs AS (SELECT feature, a, b, s - na * (na + 1) / 2 AS w, (abs(s - na * (na + 1) / 2 - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * ((na + nb + 1) - t / ((na + nb) * (na + nb - 1)))) AS z FROM ts),
+ps AS (SELECT *, 1 - {ERF.format('(abs(z) / sqrt(2))')} AS p FROM zs), pn AS (SELECT *, count(*) OVER (PARTITION BY feature) AS m, row_number() OVER (PARTITION BY feature ORDER BY p) AS place FROM ps)
+SELECT feature, a, b, round(w, 4) AS w, round(p, 4) AS p, round({BH}, 4) AS q FROM pn""",
+)
+def m12_wilcoxon(spark, d):
+    return screening.wilcoxon_pairs(outcome_values(spark, d))
+
+
 @query("m13_bootstrap_medians")
 def m13(spark, d):
-    return screening.bootstrap_medians(outcome_values(spark, d), ["feature", "outcome"], rounds=200)
+    return screening.bootstrap_medians(outcome_values(spark, d), ["feature", "outcome"])
 
 
-SETS = "sets AS (SELECT DISTINCT et AS name, user_id % 40 AS member FROM ev WHERE event_id % 37 = 0)"
+SETS = "sets AS (SELECT DISTINCT et AS name, user_id * 100 + day(ts) AS member FROM ev)"
 
 
 def _sets(spark, d):
-    return views.events(spark, d).where("event_id % 37 = 0").select(F.col("event_type").alias("name"), (F.col("user_id") % 40).alias("member")).distinct()
+    """The days of participants on which each kind of event occurs."""
+    return views.events(spark, d).select(F.col("event_type").alias("name"), (F.col("user_id") * 100 + F.dayofmonth("measuredat")).alias("member")).distinct()
 
 
 @query("h06_jaccard", f"WITH {EV}, {SETS}, n AS (SELECT name, count(*) AS n FROM sets GROUP BY 1), c AS (SELECT a.name AS a, b.name AS b, count(*) AS c FROM sets a JOIN sets b USING (member) WHERE a.name < b.name GROUP BY 1, 2) SELECT x.name AS a, y.name AS b, round(coalesce(c, 0) / (x.n + y.n - coalesce(c, 0)), 4) AS jaccard FROM n x JOIN n y ON x.name < y.name LEFT JOIN c ON c.a = x.name AND c.b = y.name")
@@ -155,13 +191,31 @@ def m16_agreement(spark, d):
     return screening.agreement(screening.confusion(_predictions(spark, d)))
 
 
-@query("m15_accuracy_interval")
+# both bounds by bisection on the binomial tails, summed in logarithms
+TAIL = "list_sum(list_transform(range({a}, {b}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+
+
+@query(
+    "m15_accuracy_interval",
+    f"""WITH RECURSIVE {EV}, {PREDICTED}, t AS (SELECT count(*) FILTER (actual = predicted) AS hits, count(*) AS n FROM pd),
+s AS (SELECT 0 AS step, hits, n, CAST(0 AS DOUBLE) AS la, CAST(1 AS DOUBLE) AS lb, CAST(0 AS DOUBLE) AS ha, CAST(1 AS DOUBLE) AS hb FROM t UNION ALL
+  SELECT step + 1, hits, n, CASE WHEN lt < 0.025 THEN (la + lb) / 2 ELSE la END, CASE WHEN lt < 0.025 THEN lb ELSE (la + lb) / 2 END, CASE WHEN ht > 0.025 THEN (ha + hb) / 2 ELSE ha END, CASE WHEN ht > 0.025 THEN hb ELSE (ha + hb) / 2 END
+  FROM (SELECT *, {TAIL.format(a='hits', b='n + 1', p='((la + lb) / 2)')} AS lt, {TAIL.format(a='0', b='hits + 1', p='((ha + hb) / 2)')} AS ht FROM s WHERE step < 40))
+SELECT hits, n, round(la, 4) AS low, round(ha, 4) AS high FROM s WHERE step = 40""",
+)
 def m15(spark, d):
     row = _predictions(spark, d).agg(F.count_if(F.col("actual") == F.col("predicted")).alias("hits"), F.count("*").alias("n")).first()
-    low, high = screening.binomial_interval(min(row.hits, 900), min(row.n, 1000))
+    low, high = screening.binomial_interval(row.hits, row.n)
     return spark.createDataFrame([(row.hits, row.n, low, high)], "hits long, n long, low double, high double")
 
 
+# 2.2621571627409915 is the 97.5 % quantile of the t distribution with 9 degrees of freedom
+@query("m15_fold_interval", f"WITH {EV}, f AS (SELECT event_id % 10 AS fold, avg(CAST(k % 4 <> 0 AS INT)) AS accuracy FROM ev GROUP BY 1) SELECT count(*) AS n, round(avg(accuracy), 4) AS mean, round(avg(accuracy) - 2.2621571627409915 * stddev_samp(accuracy) / sqrt(10), 4) AS low, round(avg(accuracy) + 2.2621571627409915 * stddev_samp(accuracy) / sqrt(10), 4) AS high FROM f")
+def m15_folds(spark, d):
+    folds = views.events(spark, d).groupBy((F.col("event_id") % 10).alias("fold")).agg(F.avg((F.col("k") % 4 != 0).cast("int")).alias("accuracy"))
+    return screening.mean_intervals(folds, "accuracy")
+
+
 @query("n05_class_weights", f"WITH {EV}, c AS (SELECT et AS event_type, count(*) AS n FROM ev GROUP BY 1) SELECT event_type, n, round(1.0 / n / (SELECT avg(1.0 / n) FROM c), 4) AS weight FROM c")
 def n05(spark, d):
     return modelling.class_weights(views.events(spark, d), "event_type")
@@ -179,11 +233,11 @@ def n06(spark, d):
     return modelling.upsampled(e, ["event_type", "device"], "event_id").groupBy("event_type", "device").agg(F.count("*").alias("n"))
 
 
-IMPORTANCE = "im AS (SELECT CAST(user_id AS VARCHAR) AS feature, CAST(sum(k) AS DOUBLE) AS importance FROM ev WHERE user_id < 40 GROUP BY 1)"
+IMPORTANCE = "im AS (SELECT CAST(user_id AS VARCHAR) AS feature, CAST(sum(k) AS DOUBLE) AS importance FROM ev GROUP BY 1)"
 
 
 def _importances(spark, d):
-    return views.events(spark, d).where("user_id < 40").groupBy(F.col("participantid").alias("feature")).agg(F.sum("k").cast("double").alias("importance"))
+    return views.events(spark, d).groupBy(F.col("participantid").alias("feature")).agg(F.sum("k").cast("double").alias("importance"))
 
 
 @query("f12_running_share", f"WITH {EV}, {IMPORTANCE} SELECT feature, round(sum(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) / (SELECT sum(importance) FROM im), 4) AS share FROM im")
@@ -210,13 +264,32 @@ def _matrix(spark, d):
     return f.select("participantid", *numbers, F.when(uid % 2 == 0, "android").otherwise("ios").alias("device_type"), F.when(F.col("total_mean") > 90, "high").when(F.col("level_mean") > 50, "mid").otherwise("low").alias("outcome")), numbers
 
 
-@query("n01_huber")
+_NUMBERS = ("mean", "median", "sd", "iqr", "rmssd", "above_median", "below_median")
+#: The matrix in long form, with device and class, and Huber's estimate by repeated means of clipped values.
+MATRIX = f"""{LONG}, {STATS}, w AS (SELECT * FROM q JOIN r USING (participantid, feature) JOIN m USING (participantid, feature)),
+mo AS (SELECT participantid, CASE WHEN CAST(participantid AS BIGINT) % 2 = 0 THEN 'android' ELSE 'ios' END AS device_type, CASE WHEN max(mean) FILTER (feature = 'total') > 90 THEN 'high' WHEN max(mean) FILTER (feature = 'level') > 50 THEN 'mid' ELSE 'low' END AS outcome FROM w GROUP BY 1),
+mx AS (SELECT participantid, device_type, outcome, feature || '_' || stat AS feature, x FROM (UNPIVOT (SELECT participantid, feature, mean, median, sd, iqr, rmssd, CAST(above_median AS DOUBLE) AS above_median, CAST(below_median AS DOUBLE) AS below_median FROM w) ON mean, median, sd, iqr, rmssd, above_median, below_median INTO NAME stat VALUE x) JOIN mo USING (participantid))"""
+
+
+def huber_sql(source: str) -> str:
+    return f"""hm AS (SELECT device_type, feature, quantile_cont(x, 0.5) AS mid, count(*) AS n FROM {source} GROUP BY 1, 2),
+hs AS (SELECT device_type, feature, mid, n, 1.4826 * quantile_cont(abs(x - mid), 0.5) AS mad FROM {source} JOIN hm USING (device_type, feature) GROUP BY 1, 2, 3, 4),
+hi AS (SELECT device_type, feature, 0 AS i, mid AS mu, n < 5 OR mad = 0 AS done FROM hs UNION ALL
+  SELECT device_type, feature, i + 1, avg(greatest(mu - 1.5 * mad, least(mu + 1.5 * mad, x))), abs(avg(greatest(mu - 1.5 * mad, least(mu + 1.5 * mad, x))) - mu) < 1e-6 * mad FROM hi JOIN hs USING (device_type, feature) JOIN {source} USING (device_type, feature) WHERE NOT done GROUP BY device_type, feature, i, mu, mad),
+hp AS (SELECT device_type, feature, arg_max(mu, i) AS mu, CASE WHEN n < 5 OR mad = 0 THEN mad + 1e-8 ELSE mad END AS s FROM hi JOIN hs USING (device_type, feature) GROUP BY device_type, feature, n, mad)"""
+
+
+@query("n01_huber", f"WITH RECURSIVE {MATRIX}, {huber_sql('mx')} SELECT device_type, feature, round(mu, 4) AS mu, round(s, 4) AS s FROM hp")
 def n01(spark, d):
     m, columns = _matrix(spark, d)
     return modelling.fit_huber(m, columns)
 
 
-@query("n02_winsorized")
+_WIDE = ", ".join(f"round(max(z) FILTER (feature = '{f}_{n}'), 4) AS {f}_{n}" for f in ("total", "level", "n") for n in _NUMBERS)
+_SCORE = "greatest(-3, least(3, (x - mu) / s))"
+
+
+@query("n02_winsorized", f"WITH RECURSIVE {MATRIX}, {huber_sql('mx')}, zs AS (SELECT participantid, feature, {_SCORE} AS z FROM mx JOIN hp USING (device_type, feature)) SELECT participantid, {_WIDE} FROM zs GROUP BY 1")
 def n02(spark, d):
     m, columns = _matrix(spark, d)
     return modelling.winsorized(m, modelling.fit_huber(m, columns), columns).select("participantid", *columns)
@@ -238,10 +311,17 @@ query("n09_random_forest")(lambda spark, d: _validated(spark, d, ("forest", mode
 query("n11_boosting")(lambda spark, d: _validated(spark, d, ("boosting", modelling.boosted(0.1, 3, 5))))
 
 
-@query("n03_fold_preparation")
+@query(
+    "n03_fold_preparation",
+    f"""WITH RECURSIVE {MATRIX}, fo AS (SELECT participantid, (row_number() OVER (PARTITION BY outcome, device_type ORDER BY participantid) - 1) % 2 AS fold FROM mo),
+tr AS (SELECT mx.* FROM mx JOIN fo USING (participantid) WHERE fold = 0), {huber_sql('tr')},
+sc AS (SELECT participantid, fold, device_type, f.feature, {_SCORE} AS z FROM (SELECT participantid, fold, device_type FROM mo JOIN fo USING (participantid)) p JOIN hp f USING (device_type) LEFT JOIN mx USING (participantid, device_type, feature)),
+me AS (SELECT feature, coalesce(quantile_cont(z, 0.5), 0) AS m FROM sc WHERE fold = 0 GROUP BY 1),
+zs AS (SELECT participantid, feature, coalesce(z, m) AS z FROM sc JOIN me USING (feature) WHERE fold = 1) SELECT participantid, {_WIDE} FROM zs GROUP BY 1""",
+)
 def n03(spark, d):
     m, columns = _matrix(spark, d)
-    parts = modelling.folds(m, ["outcome", "device_type"], 2, seed=1)
+    parts = modelling.folds(m, ["outcome", "device_type"], 2)
     ready = modelling.prepare(parts.where("fold = 0").drop("fold"), parts.where("fold = 1").drop("fold"), columns)
     return ready.test.select("participantid", *ready.columns)
 

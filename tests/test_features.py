@@ -117,7 +117,39 @@ def test_kruskal_with_ties(spark):
     r = screening.kruskal(v).first()
     assert math.isclose(r.h, h) and math.isclose(r.p, math.exp(-h / 2)) and math.isclose(r.epsilon2, max(0, (h - 2) / 11))
     assert math.isclose(screening.kruskal(v, compat=True).first().epsilon2, (h + 1) / 11)
-    assert screening.dunn(v).count() == 3
+    d = {(r.a, r.b): r for r in screening.dunn(v).collect()}
+    means = [ranks[:4].mean(), ranks[4:8].mean(), ranks[8:].mean()]
+    sigma = math.sqrt((n * (n + 1) / 12 - ties / (12 * (n - 1))) * (1 / 4 + 1 / 4))
+    for (a, b), (i, j) in {("a", "b"): (0, 1), ("a", "c"): (0, 2), ("b", "c"): (1, 2)}.items():
+        z = (means[i] - means[j]) / sigma
+        assert math.isclose(d[a, b].z, z) and math.isclose(d[a, b].p, math.erfc(abs(z) / math.sqrt(2)) / 2)
+
+
+def test_rank_sums_of_pairs(spark):
+    groups = {"a": [1.0, 2, 2, 3], "b": [2.0, 4, 5, 5, 9], "c": [7.0]}
+    v = spark.createDataFrame([("f", g, float(x)) for g, xs in groups.items() for x in xs] + [("same", g, 1.0) for g in "ab"], "feature string, outcome string, x double")
+    got = {(r.feature, r.a, r.b): r for r in screening.wilcoxon_pairs(v).collect()}
+    assert set(got) == {("f", "a", "b"), ("f", "a", "c"), ("f", "b", "c"), ("same", "a", "b")} and got["same", "a", "b"].p is None
+    both = pd.Series(groups["a"] + groups["b"])
+    w = both.rank()[:4].sum() - 10
+    ties = sum(c**3 - c for c in both.value_counts())
+    z = (w - 10 + 0.5) / math.sqrt(20 / 12 * (10 - ties / 72))
+    assert got["f", "a", "b"].w == w and math.isclose(got["f", "a", "b"].p, math.erfc(abs(z) / math.sqrt(2)))
+    ps = sorted(got["f", a, b].p for a, b in (("a", "b"), ("a", "c"), ("b", "c")))
+    assert math.isclose(min(r.q for k, r in got.items() if k[0] == "f"), min(1, ps[0] * 3, ps[1] * 1.5, ps[2]))
+
+
+@pytest.mark.parametrize("n", [3, 4, 31, 50])
+def test_bootstrap_medians_are_those_of_resamples(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n)
+    v = spark.createDataFrame([("f", float(a)) for a in x] + [("few", 1.0), ("few", 3.0)], "feature string, x double")
+    got = {r.feature: r for r in screening.bootstrap_medians(v, ["feature"], 20_000).collect()}
+    assert (got["few"].median, got["few"].low, got["few"].high) == (2.0, None, None)
+    medians = np.median(x[rng.integers(0, n, (20_000, n))], axis=1)
+    share = [np.mean(medians <= got["f"][c] + 1e-12) for c in ("low", "median", "high")]
+    below = [np.mean(medians < got["f"][c] - 1e-12) for c in ("low", "median", "high")]
+    assert all(b - 0.01 <= p <= a + 0.01 for a, b, p in zip(share, below, (0.025, 0.5, 0.975), strict=True))
 
 
 def test_chi2_tails():
@@ -141,6 +173,22 @@ def test_clusters():
 def test_binomial_interval():
     low, high = screening.binomial_interval(8, 10)
     assert math.isclose(low, 0.4439045, rel_tol=1e-5) and math.isclose(high, 0.9747893, rel_tol=1e-5)
+    assert screening.binomial_interval(0, 10)[0] == 0 and screening.binomial_interval(10, 10)[1] == 1
+    for hits, n in ((1, 3), (17, 40), (39, 40)):  # against the binomial tails themselves
+        low, high = screening.binomial_interval(hits, n)
+        tail = lambda p, ks: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in ks)  # noqa: B023, E731
+        assert math.isclose(tail(low, range(hits, n + 1)), 0.025, rel_tol=1e-9) and math.isclose(tail(high, range(hits + 1)), 0.025, rel_tol=1e-9)
+    low, high = screening.binomial_interval(752_500, 1_000_000)
+    half = 1.959964 * math.sqrt(0.7525 * 0.2475 / 1e6)
+    assert math.isclose(low, 0.7525 - half, abs_tol=2e-6) and math.isclose(high, 0.7525 + half, abs_tol=2e-6)
+
+
+def test_intervals_of_means(spark):
+    assert math.isclose(screening.t_quantile(0.975, 9), 2.2621571627, rel_tol=1e-9) and math.isclose(screening.t_quantile(0.975, 1), 12.7062047362, rel_tol=1e-9)
+    df = spark.createDataFrame([("a", 0.5), ("a", 0.7), ("a", None), ("b", 0.4)], "model string, accuracy double")
+    got = {r.model: r for r in screening.mean_intervals(df, "accuracy", ["model"]).collect()}
+    half = 12.7062047362 * np.std([0.5, 0.7], ddof=1) / math.sqrt(2)
+    assert got["a"].n == 2 and math.isclose(got["a"].low, 0.6 - half, rel_tol=1e-9) and math.isclose(got["a"].high, 0.6 + half, rel_tol=1e-9) and got["b"].low is None
 
 
 def test_huber_and_folds(spark):
