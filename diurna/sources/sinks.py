@@ -58,20 +58,51 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and constructor of its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _aside(path: str) -> str:
+    return f"{path.rstrip('/')}.before"
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Ends a replacement that was broken off: the dataset is the new one if that is in place, else the old one."""
+    files, at = _files(spark, path)
+    if files.exists(at(_aside(path))):
+        if files.exists(at(path)):
+            files.delete(at(_aside(path)), True)
+        elif not files.rename(at(_aside(path)), at(path)):
+            raise OSError(f"cannot restore {path}")
+
+
+def replace_by(spark: SparkSession, staged: str, path: str) -> None:
+    """Puts the dataset at `staged` in place of the one at path, which is moved aside first and deleted last."""
+    files, at = _files(spark, path)
+    if files.exists(at(path)) and not files.rename(at(path), at(_aside(path))):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(at(staged), at(path)):
+        recovered(spark, path)
+        raise OSError(f"cannot move {staged} to {path}")
+    files.delete(at(_aside(path)), True)
+    spark.catalog.refreshByPath(path)
+
+
 def upsert(df: DataFrame, path: str, keys: list[str], mode: str = "update", keep: tuple[str, ...] = ()) -> None:
-    """Merges df into the dataset at path. The new state is written beside the old one and then takes its place."""
+    """Merges df into the dataset at path. The new state is written beside the old one and then takes its place.
+
+    One writer at a time; if it breaks off at any point, the next one finds the old state or the new.
+    """
     spark = df.sparkSession
+    recovered(spark, path)
     if not exists(spark, path):
         overwrite(one_per_key(df, keys), path)
         return
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     overwrite(merged(spark.read.parquet(path), df, keys, mode, keep), staged)
-    jvm = spark.sparkContext._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(source, target)
-    spark.catalog.refreshByPath(path)
+    replace_by(spark, staged, path)
 
 
 def create_table_if_not_exists(spark: SparkSession, name: str, schema: T.StructType) -> None:

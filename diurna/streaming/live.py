@@ -1,11 +1,13 @@
 """Sessions and daily features over streams, with bounded state.
 
 The sources are batch tables; these are the forms for live input. State is kept for each participant
-and given up when the watermark has passed the longest session.
+and given up when the watermark has passed the longest session; events count in the order of their
+times if they come in within the time allowed for late ones.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,29 +30,41 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def screen_sessions(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Unlocked events directly followed by a locked one. The last event of each participant is the state."""
+    """Unlocked events directly followed by a locked one, whatever the order in which they come in.
+
+    Events wait until the watermark has passed them, so each is paired with the one that follows in
+    time. The state of a participant is the last event passed and those that wait.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["measuredat", "value0"])
-        before = state.get if state.exists else None
+        before, waiting = None, []
+        if state.exists:
+            at, value, held = state.get
+            before, waiting = (at, value) if value is not None else None, json.loads(held)
+        for rows in frames:
+            waiting += [[at.value // 1000, value] for at, value in zip(rows["measuredat"], rows["value0"], strict=True)]
+        now = state.getCurrentWatermarkMs()
+        due = sorted((x for x in waiting if x[0] <= now * 1000), key=lambda x: (x[0], x[1] is not None, x[1] or ""))
+        waiting = [x for x in waiting if x[0] > now * 1000]
         out = []
-        for at, value in zip(rows["measuredat"], rows["value0"], strict=True):
+        for at, value in due:
             if before is not None and before[1] == "unlocked" and value == "locked":
-                start = pd.Timestamp(before[0])
-                seconds = int(at.timestamp()) - int(start.timestamp())
+                seconds = at // 1_000_000 - before[0] // 1_000_000
                 if 0 < seconds <= T.max_session_s:
-                    out.append((key[0], start, at, seconds))
-            before = (at.isoformat(), value)
-        state.update(before)
-        state.setTimeoutTimestamp(max(int(rows["measuredat"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + T.max_session_s * 1000)
+                    out.append((key[0], pd.Timestamp(before[0] * 1000), pd.Timestamp(at * 1000), seconds))
+            before = (at, value)
+        # woken when the next event that waits is passed, or when the last one can begin no session any more
+        ends = before[0] // 1000 + T.max_session_s * 1000 if before else 0
+        if not waiting and ends <= now:
+            state.remove()
+        else:
+            state.update((before[0] if before else 0, before[1] if before else None, json.dumps(waiting)))
+            state.setTimeoutTimestamp(max(min(x[0] for x in waiting) // 1000 if waiting else ends, now + 1))
         if out:
             yield pd.DataFrame(out, columns=["participantid", "measuredat", "next_measuredat", "screen_on_time_in_secs"])
 
     labelled = events.select("participantid", "measuredat", screen_label(F.col("value0")).alias("value0")).withWatermark("measuredat", late)
-    return labelled.groupBy("participantid").applyInPandasWithState(step, SESSION, "at string, value0 string", "append", GroupStateTimeout.EventTimeTimeout)
+    return labelled.groupBy("participantid").applyInPandasWithState(step, SESSION, "at long, value0 string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:

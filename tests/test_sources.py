@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__
 from diurna import config, session
-from diurna.sources import readers, sinks
+from diurna.sources import database, readers, sinks
 
 
 def test_times_in_any_form(spark):
@@ -35,6 +35,46 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "z"), (3, "y"), (4, "n")]
 
 
+@pytest.mark.parametrize("moved", ["neither", "old", "both"])
+def test_upsert_broken_off(spark, tmp_path, moved):
+    """Whatever step a writer broke off at, the table holds the old or the new state."""
+    path = str(tmp_path / "t")
+    old, new = (spark.createDataFrame([(1, v)], "id int, v string") for v in ("old", "new"))
+    if moved == "neither":
+        sinks.overwrite(old, path)
+    else:
+        sinks.overwrite(old, sinks._aside(path))
+    if moved == "both":
+        sinks.overwrite(new, path)
+    sinks.recovered(spark, path)
+    assert spark.read.parquet(path).first().v == ("new" if moved == "both" else "old")
+    sinks.upsert(spark.createDataFrame([(2, "x")], "id int, v string"), path, ["id"])
+    assert spark.read.parquet(path).count() == 2 and not readers.exists(spark, sinks._aside(path))
+
+
+def test_database_tables(spark):
+    url, types = "jdbc:derby:memory:tables;create=true", {"createTableColumnTypes": "v VARCHAR(20), day VARCHAR(20)"}
+    rows = spark.createDataFrame([(i, f"v{i}", "Mon") for i in range(100)], "id int, v string, day string")
+    database.write(rows.repartition(3), url, "t", "overwrite", parts=2, **types)
+    back = database.read(spark, url, "t", by="id", parts=4)
+    assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert "PushedFilters: [*IsNotNull(id), *EqualTo(id,3)]" in back.where("id = 3").select("v")._jdf.queryExecution().executedPlan().toString()
+    new = spark.createDataFrame([(5, "five", "Tue"), (5, "fiv", "Tue"), (200, "more", "Wed")], rows.schema)
+    for _ in range(2):  # a second time changes nothing
+        database.upsert(new, url, "t", ["id"], keep=("day",), **types)
+    database.upsert(spark.createDataFrame([(6, "six", "Tue"), (300, "most", "Sun")], rows.schema), url, "t", ["id"], "ignore", **types)
+    got = {r.id: (r.v, r.day) for r in database.read(spark, url, "t").collect()}
+    assert len(got) == 102 and got[5] == ("five", "Mon") and got[6] == ("v6", "Mon") and got[200] == ("more", "Wed") and got[300] == ("most", "Sun")
+    assert database.read(spark, url, "(SELECT * FROM t WHERE \"id\" < 0)", by="id", parts=4).count() == 0
+    with pytest.raises(ValueError):
+        database.upsert(new, url, "t", ["id"], "guess")
+
+
+def test_merge_in_a_dialect():
+    assert database.merge_statement("jdbc:postgresql://h/d", "t", "s", ["a", "b"], ["a"], "update", ()) == 'INSERT INTO t ("a", "b") SELECT "a", "b" FROM s ON CONFLICT ("a") DO UPDATE SET "b" = excluded."b"'
+    assert database.merge_statement("jdbc:postgresql://h/d", "t", "s", ["a", "b"], ["a"], "ignore", ()).endswith('ON CONFLICT ("a") DO NOTHING')
+
+
 def test_merge_can_keep_columns(spark):
     old = spark.createDataFrame([(1, "a", "Mon")], "id int, v string, weekday string")
     new = spark.createDataFrame([(1, "b", "Tue"), (2, "c", "Wed")], "id int, v string, weekday string")

@@ -1,5 +1,6 @@
 """Streams give what batches give."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -25,13 +26,31 @@ def run(stream, name, mode="append"):
         q.stop()
 
 
+def ended(batch, late=timedelta(hours=1)):
+    """Sessions of a batch that end before what a stream may still wait for."""
+    limit = batch.agg(F.max("measuredat")).first()[0] - late
+    events = batch.withColumn("value0", F.when(F.col("value0") == "screen_on", "unlocked").otherwise("locked"))
+    return sorted(map(tuple, sequences.pairs(events).where(F.col("next_measuredat") <= F.lit(limit)).collect()))
+
+
 def test_sessions_of_a_stream(spark, tmp_path):
     rows = [(str(p), START + timedelta(minutes=17 * i + p), "screen_on" if (i * (p + 1)) % 3 else "screen_off") for p in range(3) for i in range(40)]
     batch, stream = source(spark, str(tmp_path / "in"), rows)
     run(live.screen_sessions(stream), "sessions")
-    got = sorted(map(tuple, spark.table("sessions").collect()))
-    events = batch.withColumn("value0", F.when(F.col("value0") == "screen_on", "unlocked").otherwise("locked"))
-    assert got == sorted(map(tuple, sequences.pairs(events).collect())) and got
+    assert sorted(map(tuple, spark.table("sessions").collect())) == ended(batch) != []
+
+
+def test_late_events_are_paired_in_order(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(str(p), START + timedelta(minutes=7 * i, seconds=p), rng.choice(["screen_on", "screen_off"])) for p in range(4) for i in range(60)]
+    folder = str(tmp_path / "in")
+    batch = spark.createDataFrame(rows, "participantid string, measuredat timestamp, value0 string")
+    for n in range(10):  # files overlap: each event may come up to 40 minutes late
+        part = [r for r in rows if (int((r[1] - START).total_seconds()) + r[1].minute * 41 % 2400) // 3000 == n]
+        if part:
+            spark.createDataFrame(part, batch.schema).coalesce(1).write.mode("append").parquet(folder)
+    run(live.screen_sessions(spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(folder)), "late")
+    assert sorted(map(tuple, spark.table("late").collect())) == ended(batch) != []
 
 
 def test_daily_counts_and_idempotent_merge(spark, tmp_path):
