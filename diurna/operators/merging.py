@@ -58,6 +58,14 @@ def clean(df: DataFrame, domain: str, platform: str) -> DataFrame:
     return capped(df, CAPS.get((domain, platform), {}))
 
 
+def clean_platforms(df: DataFrame, domain: str) -> DataFrame:
+    """As `clean`, for rows of both platforms told apart by device_type, in one pass."""
+    df = clean(df, domain, "")
+    caps = {p: CAPS.get((domain, p), {}) for p in ("android", "ios")}
+    limit = lambda c: reduce(lambda e, p: e.when(F.col("device_type") == p, F.lit(caps[p][c])), (p for p in caps if c in caps[p]), F.when(F.lit(False), F.lit(0)))
+    return df.withColumns({c: F.when(limit(c).isNull() | (F.col(c) <= limit(c)), F.col(c)) for c in df.columns if any(c in own for own in caps.values())})
+
+
 def gps_by_day(gps: DataFrame) -> DataFrame:
     """One row for each day: of several UTC dates the one with the most distance, then the later."""
     best = Window.partitionBy(*KEYS).orderBy(F.col("total_haversine_meters").desc_nulls_last(), F.col("date_utc").desc_nulls_last())
@@ -79,6 +87,27 @@ def with_scores(days: DataFrame, scores: DataFrame) -> DataFrame:
     return days.join(scores, F.lower(days.participantid) == scores._id, "left").drop("_id")
 
 
+def prepared_days(gps: DataFrame, sleep: DataFrame, android: dict[str, DataFrame], ios: dict[str, DataFrame], scores: DataFrame, overrides: DataFrame | None = None, least: int = T.min_days) -> DataFrame:
+    """Complete days of all domains with platform and scores, from daily tables.
+
+    `android` and `ios` hold the screen, call and activity tables of each platform. Participants with
+    rows on both platforms are left out; location and sleep belong to the platform of their
+    participant and are left out without one. Values are cleaned by domain and platform, the domains
+    merged by day, and participants with fewer than `least` complete days dropped.
+    """
+    seen = [reduce(DataFrame.unionByName, (df.select("participantid") for df in own.values())).distinct() for own in (android, ios)]
+    both = on_both_platforms(*seen)
+    kinds = device_types(seen[0].unionByName(seen[1]), *seen, overrides).where("device_type is not null")
+    found = {}
+    for domain, df in (("gps", gps_by_day(gps)), ("sleep", sleep)):
+        found[domain] = clean_platforms(without(df, both).join(kinds, "participantid"), domain)
+    for domain in ("screen", "call", "activity"):
+        found[domain] = clean_platforms(without(of_both(android[domain], ios[domain]), both), domain)
+    days = merge_days({domain: found[domain] for domain in DOMAINS})
+    days = days.withColumnRenamed("activity_device_type", "device_type").drop(*(f"{d}_{c}" for d in DOMAINS for c in ("device_type", "weekday_local")))
+    return with_enough_days(complete_days(with_scores(days, scores)), least)
+
+
 def complete_days(days: DataFrame) -> DataFrame:
     return complete(days, SCORE_COLUMNS)
 

@@ -133,7 +133,8 @@ LONG = f"""{DAYVAL}, lv AS (SELECT participantid, d, 'total' AS feature, CAST(to
 
 
 def segments(spark, d) -> DataFrame:
-    return intervals.zone_segments(views.location(spark, d), ["measuredat"])
+    make = lambda: intervals.zone_segments(views.location(spark, d), ["measuredat"])
+    return d.once("segments", make) if isinstance(d, views.Study) else make()
 
 
 def sessions(spark, d) -> DataFrame:

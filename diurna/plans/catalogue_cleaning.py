@@ -5,8 +5,9 @@ from __future__ import annotations
 from .catalogue import *  # noqa: F403
 from .catalogue import (
     DAILY_ACC, DAILY_CALLS, DAILY_SCREEN, DAYVAL, EV, GPS, LOC, NIGHT, PARTS, POINTS, SCREEN, SEG, STAMP, F, Window,
-    daily_calls, daily_motion, daily_screen, day_values, geo, gps, intervals, merging, mobility, motion, nights, points, query, readers, segments, sequences, sleep, times, values, views,
+    daily, daily_calls, daily_motion, daily_screen, day_values, geo, gps, intervals, merging, mobility, motion, nights, points, query, readers, segments, sequences, sleep, times, values, views,
 )
+from .catalogue_events import ANDROID_CALLS
 
 
 @query("c01_projection", f"WITH {EV} SELECT event_id AS id, et AS kind FROM ev")
@@ -351,21 +352,31 @@ def k06(spark, d):
     return views.events(spark, d).select("event_id", F.greatest("k", F.lit(50)).alias("hi"), F.least("k", F.lit(50)).alias("lo"), F.ln(F.col("value") + 1).alias("ln"), F.abs(F.col("value") - 100).alias("away"), (F.col("k") * 60).alias("seconds"))
 
 
-MERGED = f"""{DAILY_CALLS}, {', '.join(x for x in [GPS[GPS.index('gp AS'):], NIGHT[NIGHT.index('se AS'):], DAILY_SCREEN[DAILY_SCREEN.index('ahead AS'):], DAILY_ACC[DAILY_ACC.index('ax AS'):]])}"""
+PEOPLE = 12
+#: The events of all users dealt to PEOPLE participants. Even ones are on android, odd ones on iOS, the first on both.
+EV12 = EV.replace("user_id, CAST(user_id AS VARCHAR)", f"user_id % {PEOPLE} AS user_id, CAST(user_id % {PEOPLE} AS VARCHAR)")
+MERGED = f"""{DAILY_CALLS.replace(EV, EV12)}, {', '.join(x for x in [GPS[GPS.index('gp AS'):], NIGHT[NIGHT.index('se AS'):], DAILY_SCREEN[DAILY_SCREEN.index('ahead AS'):], DAILY_ACC[DAILY_ACC.index('ax AS'):]])}"""
 
 
 @query(
     "o11_clean_days",
-    f"""WITH {MERGED.replace('cv AS (SELECT', SCREEN + ', cv AS (SELECT', 1)},
-g1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY participantid, d ORDER BY total_haversine_meters DESC NULLS LAST, du DESC) AS best FROM dgps) WHERE best = 1)
-SELECT participantid, strftime(d, '%Y-%m-%d') AS date_local, g.total_haversine_meters AS gps_total_haversine_meters, s.total_screen_time_in_seconds AS screen_total_screen_time_in_seconds, c.num_all_calls AS call_num_all_calls,
-  z.total_night_screen_minutes AS sleep_total_night_screen_minutes, a.total_active_seconds AS activity_total_active_seconds
-FROM g1 g JOIN dscreen s USING (participantid, d) JOIN dcall c USING (participantid, d) JOIN dsleep z USING (participantid, d) JOIN dacc a USING (participantid, d) WHERE g.var IS NOT NULL AND g.total_haversine_meters <= 2000000""",
+    f"""WITH {MERGED.replace('cv AS (SELECT', SCREEN + ', cv AS (SELECT', 1)}, {ANDROID_CALLS[ANDROID_CALLS.index('ar AS'):]},
+g1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY participantid, d ORDER BY total_haversine_meters DESC NULLS LAST, du DESC) AS best FROM dgps) WHERE best = 1),
+call2 AS (SELECT participantid, d, num_all_calls FROM dcall WHERE CAST(participantid AS INT) % 2 = 1 UNION ALL SELECT participantid, d, count(*) FROM ab WHERE CAST(participantid AS INT) % 2 = 0 GROUP BY 1, 2),
+whole AS (SELECT participantid, d, CASE WHEN CAST(participantid AS INT) % 2 = 0 THEN 'android' ELSE 'ios' END AS device_type, g.total_haversine_meters, s.total_screen_time_in_seconds, c.num_all_calls, z.total_night_screen_minutes, a.total_active_seconds
+  FROM g1 g JOIN dscreen s USING (participantid, d) JOIN call2 c USING (participantid, d) JOIN dsleep z USING (participantid, d) JOIN dacc a USING (participantid, d)
+  WHERE participantid <> '0' AND g.var IS NOT NULL AND g.total_haversine_meters <= 2000000 AND s.afternoon_screen_time_in_seconds <= 21600 AND s.nighttime_screen_time_in_seconds <= 21600)
+SELECT participantid, strftime(d, '%Y-%m-%d') AS date_local, device_type, total_haversine_meters AS gps_total_haversine_meters, total_screen_time_in_seconds AS screen_total_screen_time_in_seconds, num_all_calls AS call_num_all_calls,
+  total_night_screen_minutes AS sleep_total_night_screen_minutes, total_active_seconds AS activity_total_active_seconds, (CAST(participantid AS BIGINT) * 3) % 11 AS emo_symptoms_baseline
+FROM whole WHERE participantid IN (SELECT participantid FROM whole GROUP BY 1 HAVING count(*) >= 5)""",
 )
 def o11(spark, d):
-    frames = {
-        "gps": merging.clean(merging.gps_by_day(gps(spark, d)), "gps", "ios"), "screen": merging.clean(daily_screen(spark, d), "screen", "ios"), "call": merging.clean(daily_calls(spark, d), "call", "ios"),
-        "sleep": sleep.nightly(nights(spark, d)), "activity": merging.clean(daily_motion(spark, d), "activity", "ios"),
-    }
-    days = merging.complete_days(merging.merge_days(frames))
-    return days.select("participantid", "date_local", "gps_total_haversine_meters", "screen_total_screen_time_in_seconds", "call_num_all_calls", "sleep_total_night_screen_minutes", "activity_total_active_seconds")
+    d = views.Study(d, PEOPLE)
+    number = F.col("participantid").cast("int")
+    on = {"android": number % 2 == 0, "ios": (number % 2 == 1) | (number == 0)}
+    # daily tables, which several branches read, are small beside the events they are made from
+    made = {name: d.once(name, lambda f=f: f(spark, d)) for name, f in (("screen", daily_screen), ("activity", daily_motion), ("call", daily_calls))}
+    android, ios = ({name: df.where(who) for name, df in made.items()} for who in on.values())
+    android["call"] = daily.daily_calls_android(views.calls_android(spark, d).where(on["android"]))
+    days = merging.prepared_days(gps(spark, d), sleep.nightly(nights(spark, d)), android, ios, views.scores(spark, d))
+    return days.select("participantid", "date_local", "device_type", "gps_total_haversine_meters", "screen_total_screen_time_in_seconds", "call_num_all_calls", "sleep_total_night_screen_minutes", "activity_total_active_seconds", "emo_symptoms_baseline")

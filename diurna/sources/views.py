@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Study(str):
+    """A folder of tables in which `people` participants share the events of all users, so that their days are full."""
+
+    people: int
+    held: dict[str, DataFrame]
+
+    def __new__(cls, sf_dir: str, people: int) -> Study:
+        self = super().__new__(cls, sf_dir)
+        self.people = people
+        self.held = {}
+        return self
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A small table that several branches of one query read: made once and kept on disk."""
+        if name not in self.held:
+            self.held[name] = make().persist(StorageLevel.DISK_ONLY)
+        return self.held[name]
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, user_id, participantid, measuredat, event_type, value, k)."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if isinstance(sf_dir, Study):
+        raw = raw.withColumn("user_id", F.pmod("user_id", F.lit(sf_dir.people)))
     return raw.select(
         "event_id", "user_id", F.col("user_id").cast("string").alias("participantid"), F.col("ts").cast("timestamp").alias("measuredat"), "event_type", "value",
         F.regexp_extract("props", r"(-?[0-9]+)", 1).cast("long").alias("k"),

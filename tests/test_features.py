@@ -103,6 +103,28 @@ def test_histogram_breaks(spark):
     assert math.isclose(secondary.histogram_entropy(v, ["participantid", "feature"]).first().entropy, expected, rel_tol=1e-9)
 
 
+def test_prepared_days(spark):
+    day = lambda i: datetime(2024, 1, 1 + i).date()
+    keys = "participantid string, date_local date, "
+    frame = lambda rows, columns: spark.createDataFrame(rows, keys + columns)
+    days = {"A1": range(6), "B": range(5), "C": range(6), "D": range(6), "E": range(4)}
+    every = [(p, day(i)) for p, own in days.items() for i in own]
+    gps = frame([(p, d, d, 3e6 if (p, d) == ("A1", day(5)) else 10.0) for p, d in every] + [("B", day(4), day(5), 20.0)], "date_utc date, total_haversine_meters double")
+    sleep_days = frame([(p, d, 1) for p, d in every], "total_night_screen_minutes int")
+    columns = [f"{n}_screen_time_in_seconds" for n in ("morning", "afternoon", "evening", "nighttime")] + [f"num_of_events_{n}" for n in ("morning", "afternoon", "evening", "nighttime")]
+    screen = frame([(p, d, "Mon", 30000, 4, 0, None if d == day(0) else 30000 * (p == "B"), 0, 0, 0, 0, 0, 0) for p, d in every if p != "D"], "weekday_local string, total_screen_time_in_seconds int, num_of_events_total int, " + ", ".join(f"{c} int" for c in columns))
+    call = frame([(p, d, None) for p, d in every if p != "D"], "num_all_calls int")
+    call = call.withColumns({c: F.lit(None).cast("int") for c in merging.CALL_COLUMNS if c != "num_all_calls"})
+    activity = frame([(p, d, 5) for p, d in every if p != "D"], "total_active_seconds int")
+    of = lambda ids: {n: f.where(F.col("participantid").isin(*ids)) for n, f in (("screen", screen), ("call", call), ("activity", activity))}
+    scores = spark.createDataFrame([("a1", 3)], "participantid string, emo_symptoms_baseline int")
+    got = merging.prepared_days(gps, sleep_days, of(["A1", "C"]), of(["B", "C", "E"]), scores).collect()
+    # C is on both platforms, D on none, E has four days; one day of A1 is too far
+    assert sorted((r.participantid, r.date_local, r.device_type, r.gps_total_haversine_meters, r.call_num_all_calls, r.emo_symptoms_baseline) for r in got) == [
+        *(("A1", day(i), "android", 10.0, 0, 3) for i in range(5)), *(("B", day(i), "ios", 20.0 if i == 4 else 10.0, 0, None) for i in range(5))]
+    assert not [c for c in got[0].asDict() if c.endswith(("weekday_local", "_device_type"))]
+
+
 def test_kruskal_with_ties(spark):
     groups = {"a": [1, 2, 2, 3], "b": [2, 4, 5, 5], "c": [6, 7, 7, 8]}
     v = spark.createDataFrame([("f", g, float(x)) for g, xs in groups.items() for x in xs], "feature string, outcome string, x double")
