@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo, times, values
-from ..operators import daily, enrichment, intervals, merging, mobility, modelling, motion, screening, secondary, sequences, sleep
+from ..operators import daily, enrichment, grids, intervals, merging, mobility, modelling, motion, screening, secondary, sequences, sleep
 from ..sources import readers, sinks, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

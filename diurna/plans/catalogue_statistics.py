@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .catalogue import *  # noqa: F403
-from .catalogue import EV, LONG, F, Window, day_values, long_values, modelling, motion, outcome_values, query, screening, secondary, values, views
+from .catalogue import EV, LONG, F, Window, day_values, grids, long_values, modelling, motion, outcome_values, query, screening, secondary, values, views
 
 STATS = """q AS (SELECT participantid, feature, avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_samp(x) AS sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, max(x) - min(x) AS range FROM lv GROUP BY 1, 2),
 r AS (SELECT participantid, feature, sqrt(avg(dx * dx)) AS rmssd FROM (SELECT *, x - lag(x) OVER (PARTITION BY participantid, feature ORDER BY d) AS dx FROM lv) GROUP BY 1, 2),
@@ -301,14 +301,15 @@ def n04(spark, d):
     return modelling.imputed(e, modelling.fit_medians(e, ["v"]))
 
 
-def _validated(spark, d, estimator):
-    m, columns = _matrix(spark, d)
-    return modelling.cross_validated(m, columns, [estimator], k=2, top=(8,)).select("fold", "participantid", "actual", "predicted")
+def _tuned(family):
+    return lambda spark, d: grids.tuned(*_matrix(spark, d), family).select("fold", "participantid", "actual", "predicted")
 
 
-query("n08_elastic_net")(lambda spark, d: _validated(spark, d, ("elastic net", modelling.elastic_net(0.5, 0.01))))
-query("n09_random_forest")(lambda spark, d: _validated(spark, d, ("forest", modelling.random_forest(20, "sqrt"))))
-query("n11_boosting")(lambda spark, d: _validated(spark, d, ("boosting", modelling.boosted(0.1, 3, 5))))
+query("n08_elastic_net")(_tuned("elastic net"))
+query("n09_random_forest")(_tuned("forest"))
+query("n10_two_stage_forest")(_tuned("pruned forest"))
+query("n11_boosting")(_tuned("boosting"))
+query("n11_pruned_boosting")(_tuned("pruned boosting"))
 
 
 @query(
@@ -326,14 +327,6 @@ def n03(spark, d):
     return ready.test.select("participantid", *ready.columns)
 
 
-@query("n10_two_stage_forest")
-def n10(spark, d):
-    m, columns = _matrix(spark, d)
-    ready = modelling.prepare(m, m, columns)
-    _, chosen = modelling.two_stage_forest(ready.train, ready.columns, modelling.random_forest(10, "onethird"), 2, least=5)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "place long, feature string")
-
-
 @query("h07_feature_overlap", f"WITH {EV}, {SETS} SELECT member FROM sets GROUP BY 1 HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM sets)")
 def h07(spark, d):
     s = _sets(spark, d)
