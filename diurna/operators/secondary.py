@@ -37,21 +37,27 @@ def pretty_step(low: Column, high: Column, bins: int = 10) -> Column:
     )
 
 
+def histogram_place(x: Column, low: Column, step: Column) -> Column:
+    """The interval of a value, closed on the right; the lowest break belongs to the first interval."""
+    return F.greatest(F.ceil(x / step - 1e-7) - 1, F.floor(low / step + 1e-7))
+
+
 def histogram_entropy(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, entropy): Shannon entropy in bits of a histogram with round breaks, closed on the right."""
     spread = values.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"))
     spread = spread.select(*keys, "low", pretty_step(F.col("low"), F.col("high")).alias("step"))
     binned = values.join(spread, keys)
-    # the lowest break belongs to the first interval
-    first = F.floor(F.col("low") / F.col("step") + 1e-7)
-    place = F.greatest(F.ceil(F.col("x") / F.col("step") - 1e-7) - 1, first)
-    counts = binned.groupBy(*keys, place.alias("bin")).agg(F.count("*").alias("n"))
+    counts = binned.groupBy(*keys, histogram_place(F.col("x"), F.col("low"), F.col("step")).alias("bin")).agg(F.count("*").alias("n"))
     total = F.sum("n")
     return counts.groupBy(*keys).agg((F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total).alias("entropy"))
 
 
+#: Intervals of a histogram at most: steps are at least 0.71 tenths of the range, so it has 14 and one at either end.
+MOST_BINS = 16
+
+
 def statistics(values: DataFrame, key: str = "participantid", order: str = "date_local") -> DataFrame:
-    """(key, feature, statistics...) from long values, in two passes: the second needs the medians."""
+    """(key, feature, statistics...) from long values, in two passes: the second needs the medians and the range."""
     keys = [key, "feature"]
     before = F.lag("x").over(Window.partitionBy(*keys).orderBy(order))
     first = values.withColumn("d", F.col("x") - before).groupBy(*keys).agg(
@@ -59,15 +65,25 @@ def statistics(values: DataFrame, key: str = "participantid", order: str = "date
         F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
         F.stddev_samp("x").alias("sd"),
         F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmssd"),
-        (F.max("x") - F.min("x")).alias("range"),
+        F.min("x").alias("low"),
+        F.max("x").alias("high"),
     )
-    first = first.select(*keys, "mean", F.col("q")[1].alias("median"), "sd", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), F.when(F.col("mean") != 0, F.try_divide("sd", "mean")).alias("cv"), "rmssd", "range")
-    second = values.join(first.select(*keys, "median"), keys).groupBy(*keys).agg(
+    first = first.select(
+        *keys, "mean", F.col("q")[1].alias("median"), "sd", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), F.when(F.col("mean") != 0, F.try_divide("sd", "mean")).alias("cv"), "rmssd",
+        (F.col("high") - F.col("low")).alias("range"), "low", pretty_step(F.col("low"), F.col("high")).alias("step"),
+    )
+    whole = ("mean", "median", "sd", "iqr", "cv", "rmssd", "range")
+    bin_ = histogram_place(F.col("x"), F.col("low"), F.col("step")) - histogram_place(F.col("low"), F.col("low"), F.col("step"))
+    second = values.join(first, keys).groupBy(*keys).agg(
+        *(F.first(c).alias(c) for c in whole),
         (F.lit(MAD_FACTOR) * F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5))).alias("mad"),
         F.count_if(F.col("x") > F.col("median")).alias("above_median"),
         F.count_if(F.col("x") < F.col("median")).alias("below_median"),
+        F.array(*(F.count_if(bin_ == k) for k in range(MOST_BINS))).alias("bins"),
+        F.count("*").alias("n"),
     )
-    return first.join(second, keys).join(histogram_entropy(values, keys), keys).select(*keys, *STATISTICS)
+    spread = F.aggregate("bins", F.lit(0.0), lambda acc, m: acc + F.when(m > 0, m * F.log2(m.cast("double"))).otherwise(0.0))
+    return second.withColumn("entropy", F.log2("n") - spread / F.col("n")).select(*keys, *STATISTICS)
 
 
 def numeric_columns(df: DataFrame, but: list[str]) -> list[str]:

@@ -10,15 +10,6 @@ r AS (SELECT participantid, feature, sqrt(avg(dx * dx)) AS rmssd FROM (SELECT *,
 m AS (SELECT participantid, feature, 1.4826 * quantile_cont(abs(x - median), 0.5) AS mad, count(*) FILTER (x > median) AS above_median, count(*) FILTER (x < median) AS below_median FROM lv JOIN q USING (participantid, feature) GROUP BY 1, 2)"""
 
 
-@query(
-    "e13_secondary_statistics",
-    f"WITH {LONG}, {STATS} SELECT participantid, feature, CAST(CAST(CAST(mean AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS mean, CAST(CAST(CAST(median AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS median, CAST(CAST(CAST(sd AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS sd, CAST(CAST(CAST(iqr AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS iqr, CAST(CAST(CAST(CASE WHEN mean <> 0 THEN sd / mean END AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS cv, CAST(CAST(CAST(rmssd AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS rmssd, CAST(CAST(CAST(mad AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS mad, CAST(CAST(CAST(range AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS range, above_median, below_median FROM q JOIN r USING (participantid, feature) JOIN m USING (participantid, feature)",
-)
-def e13(spark, d):
-    out = secondary.statistics(long_values(spark, d)).drop("entropy")
-    return out.select(*(motion.numeric(F.col(c)).alias(c) if t == "double" else c for c, t in out.dtypes))
-
-
 HIST = """hs AS (SELECT participantid, feature, min(x) AS lo, max(x) AS hi FROM lv GROUP BY 1, 2),
 hr AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 10 WHEN greatest(abs(lo), abs(hi)) > 0 THEN greatest(abs(lo), abs(hi)) / 10 ELSE 0.1 END AS raw FROM hs),
 hb AS (SELECT *, power(10.0, floor(log10(raw))) AS b FROM hr),
@@ -26,6 +17,15 @@ hp AS (SELECT *, CASE WHEN 10 * b - raw < 1.5 * (raw - 5 * b) THEN 10 * b WHEN 5
 hc AS (SELECT participantid, feature, greatest(ceil(x / step - 1e-7) - 1, floor(lo / step + 1e-7)) AS bin, count(*) AS n FROM lv JOIN hp USING (participantid, feature) GROUP BY 1, 2, 3)"""
 
 
+@query(
+    "e13_secondary_statistics",
+    f"WITH {LONG}, {STATS}, {HIST}, en AS (SELECT participantid, feature, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM hc GROUP BY 1, 2) SELECT participantid, feature, CAST(CAST(CAST(mean AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS mean, CAST(CAST(CAST(median AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS median, CAST(CAST(CAST(sd AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS sd, CAST(CAST(CAST(iqr AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS iqr, CAST(CAST(CAST(CASE WHEN mean <> 0 THEN sd / mean END AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS cv, CAST(CAST(CAST(rmssd AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS rmssd, CAST(CAST(CAST(mad AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS mad, CAST(CAST(CAST(range AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS range, above_median, below_median, CAST(CAST(CAST(entropy AS DECIMAL(20, 12)) AS DECIMAL(12, 4)) AS DOUBLE) AS entropy FROM q JOIN r USING (participantid, feature) JOIN m USING (participantid, feature) JOIN en USING (participantid, feature)",
+)
+def e13(spark, d):
+    out = secondary.statistics(long_values(spark, d))
+    return out.select(*(motion.numeric(F.col(c)).alias(c) if t == "double" else c for c, t in out.dtypes))
+
+
 @query("m07_hist_entropy", f"WITH {LONG}, {HIST} SELECT participantid, feature, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS entropy FROM hc GROUP BY 1, 2")
 def m07(spark, d):
     return secondary.histogram_entropy(long_values(spark, d), ["participantid", "feature"])
