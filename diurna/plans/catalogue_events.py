@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from .. import config
 from .catalogue import *  # noqa: F403
 from .catalogue import (
     CALLS, DAILY_ACC, DAILY_CALLS, DAILY_SCREEN, DAY6, EV, GPS, LOC, LOCAL, NIGHT, PARTS, POINTS, SCREEN, SEG, SESSIONS, STAMP, STEPS, COUNTS, PAIRS, F, Window,
@@ -55,24 +58,88 @@ def _halves(spark, d):
     return e.where("event_id % 3 <> 0").select(F.col("event_id").alias("id"), F.col("value").alias("v")), e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), (F.col("value") + 1000).alias("v"))
 
 
+def _stored(spark, d, mode, keep=()):
+    """What a dataset holds after the new rows are written to it."""
+    old, new = _halves(spark, d)
+    path = f"{sinks.scratch(spark)}/table"
+    sinks.overwrite(old, path)
+    if mode == "append":
+        sinks.append(new, path)
+    elif mode == "overwrite":
+        sinks.overwrite(new, path)
+    else:
+        sinks.upsert(new, path, ["id"], mode, keep)
+    return readers.table(spark, path)
+
+
 @query("b02_upsert_merge", f"WITH {EV}, {HALVES} SELECT id, round(v, 4) AS v FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT id, round(v, 4) FROM new")
 def b02(spark, d):
-    return sinks.merged(*_halves(spark, d), ["id"])
+    return _stored(spark, d, "update")
 
 
 @query("b03_upsert_keeping_columns", f"WITH {EV}, {HALVES} SELECT id, round(v, 4) AS v FROM old UNION ALL SELECT id, round(v, 4) FROM new WHERE id NOT IN (SELECT id FROM old)")
 def b03(spark, d):
-    return sinks.merged(*_halves(spark, d), ["id"], "update", keep=("v",))
+    return _stored(spark, d, "update", ("v",))
 
 
 @query("b06_merge_ignore", f"WITH {EV}, {HALVES} SELECT id, round(v, 4) AS v FROM old UNION ALL SELECT id, round(v, 4) FROM new WHERE id NOT IN (SELECT id FROM old)")
 def b06(spark, d):
-    return sinks.merged(*_halves(spark, d), ["id"], "ignore")
+    return _stored(spark, d, "ignore")
 
 
+@query("b01_append_rows", f"WITH {EV}, {HALVES} SELECT id, round(v, 4) AS v FROM old UNION ALL SELECT id, round(v, 4) FROM new")
 @query("b08_append", f"WITH {EV}, {HALVES} SELECT id, round(v, 4) AS v FROM old UNION ALL SELECT id, round(v, 4) FROM new")
 def b08(spark, d):
-    return sinks.merged(*_halves(spark, d), ["id"], "append")
+    return _stored(spark, d, "append")
+
+
+@query("b04_replace_table", f"WITH {EV}, {HALVES} SELECT id, round(v, 4) AS v FROM new")
+def b04(spark, d):
+    return _stored(spark, d, "overwrite")
+
+
+@query("a09_scores_file", f"WITH {EV}, u AS (SELECT DISTINCT participantid, user_id FROM ev) SELECT participantid AS redcap_survey_identifier, (user_id * 3) % 11 AS emo_symptoms_baseline, (user_id * 11 + 7) % 11 AS prosocial_followup FROM u")
+@query("b09_file_of_text", f"WITH {EV}, u AS (SELECT DISTINCT participantid, user_id FROM ev) SELECT participantid AS redcap_survey_identifier, (user_id * 3) % 11 AS emo_symptoms_baseline, (user_id * 11 + 7) % 11 AS prosocial_followup FROM u")
+def a09(spark, d):
+    path = f"{sinks.scratch(spark)}/scores"
+    sinks.write_csv(views.scores(spark, d).select(F.col("participantid").alias("redcap_survey_identifier"), *(f.name for f in readers.SCORES.fields[1:])), path)
+    return readers.read_scores(spark, path).select("redcap_survey_identifier", "emo_symptoms_baseline", "prosocial_followup")
+
+
+@query("a07_probes", "SELECT * FROM (VALUES ('events', TRUE, TRUE), ('orders', TRUE, FALSE), ('no_such_table', FALSE, FALSE)) v(name, there, has_users)")
+def a07(spark, d):
+    path = lambda name: f"{d}/{name}.parquet"
+    rows = [(name, there, there and readers.has_column(readers.table(spark, path(name)), "user_id")) for name in ("events", "orders", "no_such_table") for there in [readers.exists(spark, path(name))]]
+    return spark.createDataFrame(rows, "name string, there boolean, has_users boolean")
+
+
+@query("a10_batches", f"WITH {EV}, n AS (SELECT count(DISTINCT participantid) AS n FROM ev) SELECT i AS batch, least(40, n - 40 * i) AS rows FROM n, range(0, 1000000) r(i) WHERE 40 * i < n")
+def a10(spark, d):
+    sizes = [(i, len(rows)) for i, rows in enumerate(readers.batches(readers.distinct_participants(views.events(spark, d)), 40))]
+    return spark.createDataFrame(sizes, "batch long, rows long")
+
+
+@query("a11_settings", "SELECT 'x/daily_gps/run_date=20240131' AS path, 'sensing' AS catalogue")
+@query("j14_run_date", "SELECT 'x/daily_gps/run_date=20240131' AS path, 'sensing' AS catalogue")
+def a11(spark, d):
+    own = config.Settings(root="x", run_date="20240131")
+    return spark.createDataFrame([(config.dataset_path(own, "daily_gps"), own.catalogue)], "path string, catalogue string")
+
+
+@query("b05_table_of_a_schema", "SELECT * FROM (VALUES ('event_id', 'BIGINT', 0), ('user_id', 'BIGINT', 1), ('participantid', 'TEXT', 2), ('measuredat', 'TIMESTAMP', 3), ('event_type', 'TEXT', 4), ('value', 'DOUBLE PRECISION', 5), ('k', 'BIGINT', 6), ('added', 'NUMERIC(5,2)', 7)) v(name, kind, place)")
+def b05(spark, d):
+    name = f"made_{uuid.uuid4().hex}"
+    sinks.create_table_if_not_exists(spark, name, sinks.with_column_added(views.events(spark, d), "added", "decimal(5,2)").schema)
+    try:
+        schema = spark.table(name).schema
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.createDataFrame([(f.name, sinks.sql_type(f.dataType), i) for i, f in enumerate(schema.fields)], "name string, kind string, place long")
+
+
+@query("g05_sample_row", f"WITH {EV} SELECT event_id, participantid, et AS event_type FROM ev ORDER BY event_id LIMIT 1")
+def g05(spark, d):
+    return views.events(spark, d).orderBy("event_id").select("event_id", "participantid", "event_type").limit(1)
 
 
 @query("b07_fill_missing", f"WITH {EV} SELECT event_id, CASE WHEN event_id % 5 = 0 THEN et ELSE 'kept' END AS label FROM ev")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,20 @@ def sql_type(kind: T.DataType) -> str:
     return SQL_TYPES.get(type(kind), "TEXT")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path for data that a session needs no longer than it lasts, in the folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    files, at = _files(spark, path)
+    files.mkdirs(at(path))
+    files.deleteOnExit(at(path))
+    return path
+
+
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key: the greatest by all other columns, so the choice is the same in every run."""
     others = [F.col(f"`{c}`").desc_nulls_last() for c in df.columns if c not in keys]
