@@ -106,9 +106,40 @@ def with_categories(features: DataFrame) -> DataFrame:
     return features.withColumns({f"{s}_{w}_cat": category(s, F.col(f"{s}_{w}")) for w in ("baseline", "followup") for s in CUTOFFS if f"{s}_{w}" in features.columns})
 
 
+#: Values that are ranked in one task at most.
+RANKED = 100_000
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of a column, with linear interpolation between ranks, however many values there are.
+
+    Around each quantile a range is narrowed by approximate quantiles, whose error is bounded, until it
+    holds few enough values to rank them, or nothing but equal ones.
+    """
+    x = F.col(column)
+    known = df.select(x.cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n = known.count()
+    if n <= RANKED:
+        return list(known.agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).first().q or [None] * len(shares))
+    out = []
+    for share in shares:
+        part, below, inside, margin = known, 0, n, 2e-4
+        while inside > RANKED:
+            at = (share * (n - 1) - below) / (inside - 1)
+            low, high = part.agg(F.percentile_approx("x", [max(0.0, at - margin), min(1.0, at + margin)], 10_000)).first()[0]
+            less, kept = part.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high))).first()
+            if kept == inside:
+                break
+            part, below, inside = part.where(F.col("x").between(low, high)), below + less, kept
+        at = (share * (n - 1) - below) / max(inside - 1, 1)
+        out.append(part.agg(F.percentile("x", F.lit(min(max(at, 0.0), 1.0)))).first()[0])
+    return out
+
+
 def iqr_outliers(df: DataFrame, column: str, key: list[str]) -> DataFrame:
     """Rows beyond 1.5 interquartile ranges from the quartiles."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.col("q")[0]).alias("q1"), F.col("q")[1].alias("q3"))
-    bounds = q.select((F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper"))
-    # the bounds are one row
-    return df.join(F.broadcast(bounds), (F.col(column) < F.col("lower")) | (F.col(column) > F.col("upper"))).select(*key, column, "lower", "upper")
+    q1, q3 = quantiles(df, column, [0.25, 0.75])
+    if q1 is None:
+        return df.select(*key, column, *(F.lit(None).cast("double").alias(c) for c in ("lower", "upper"))).limit(0)
+    lower, upper = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    return df.where((F.col(column) < lower) | (F.col(column) > upper)).select(*key, column, F.lit(lower).alias("lower"), F.lit(upper).alias("upper"))

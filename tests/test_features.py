@@ -125,6 +125,16 @@ def test_prepared_days(spark):
     assert not [c for c in got[0].asDict() if c.endswith(("weekday_local", "_device_type"))]
 
 
+@pytest.mark.parametrize("most", [10**6, 300, 5])
+def test_quantiles_of_many_values(spark, monkeypatch, most):
+    monkeypatch.setattr(secondary, "RANKED", most)
+    rng = np.random.default_rng(most)
+    for x in (rng.normal(size=5001), rng.integers(0, 3, 4000).astype(float), np.zeros(1000), np.arange(400.0)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        assert np.allclose(secondary.quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0]), np.quantile(x, [0, 0.25, 0.5, 0.75, 1]))
+    assert secondary.quantiles(df.limit(0), "x", [0.5]) == [None] and secondary.iqr_outliers(df.limit(0), "x", []).count() == 0
+
+
 def test_kruskal_with_ties(spark):
     groups = {"a": [1, 2, 2, 3], "b": [2, 4, 5, 5], "c": [6, 7, 7, 8]}
     v = spark.createDataFrame([("f", g, float(x)) for g, xs in groups.items() for x in xs], "feature string, outcome string, x double")
