@@ -264,9 +264,7 @@ def f03(spark, d):
 
 @query("f09_batch_numbers", f"WITH {EV}, p AS (SELECT DISTINCT participantid FROM ev) SELECT participantid, (row_number() OVER (ORDER BY participantid) - 1) // 10 + 1 AS batch FROM p")
 def f09(spark, d):
-    # participants, not events, are numbered in one order
-    p = views.events(spark, d).select("participantid").distinct()
-    return p.select("participantid", (F.floor((F.row_number().over(Window.orderBy("participantid")) - 1) / 10) + 1).alias("batch"))
+    return readers.batch_numbers(views.events(spark, d), 10)
 
 
 @query("g03_ordered_days", f"WITH {EV}, {DAYS} SELECT participantid, strftime(d, '%Y-%m-%d') AS date_local FROM dd")

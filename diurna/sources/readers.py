@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +48,21 @@ def distinct_participants(source: DataFrame) -> DataFrame:
     return source.select("participantid").distinct().orderBy("participantid")
 
 
+def batch_numbers(participants: DataFrame, size: int) -> DataFrame:
+    """(participantid, batch): distinct participants in order, numbered in batches of `size` from 1.
+
+    They are ranked side by side in groups of a common beginning, a few characters longer than what all
+    have in common; the groups, which are few, are numbered in one place.
+    """
+    ids = participants.select("participantid").where("participantid is not null").distinct()
+    ends = ids.agg(F.min("participantid"), F.max("participantid")).first()
+    same = len(os.path.commonprefix([ends[0] or "", ends[1] or ""]))
+    ids = ids.withColumn("_group", F.substring("participantid", 1, same + 2))
+    groups = ids.groupBy("_group").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_group")) - F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy("participantid"))
+    return ids.withColumn("_rank", rank).join(groups, "_group").select("participantid", (F.floor((F.col("_before") + F.col("_rank") - 1) / size) + 1).alias("batch"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a dataset can be read; optional inputs are skipped if not."""
     try:
