@@ -14,7 +14,7 @@ with whole texts; every language is learned and every text is predicted whole. T
 languages have at most CELLS cells together (but LEAST_BITS bits for each), so that many languages get
 smaller tables, in which more letter sequences share a cell.
 
-Defined cases: an empty table gives an empty result; a null text and one without letters are `und` with score 0; words in a script that
+Defined cases: an empty table gives an empty result; a very long text is predicted whole, in one step; a null text and one without letters are `und` with score 0; words in a script that
 no language was learned with score alike for all languages; without any learned language every text
 is `und`; repeated rows get equal results; extra columns are ignored.
 """

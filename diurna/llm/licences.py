@@ -12,7 +12,7 @@
 The templates are a parameter of fixed size, so they are broadcast, and the texts are not shuffled;
 only hits and one row for each text are.
 
-Defined cases: a null or empty text has no words and no place; repeated rows give repeated rows;
+Defined cases: an empty table gives an empty result; very long texts are scanned whole; a null or empty text has no words and no place; repeated rows give repeated rows;
 places that overlap all count; extra columns are ignored.
 """
 

@@ -270,7 +270,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star: each node links what it is linked to with the smallest of
     them, until the edges are stars. Each round halves what is left of a chain, and a round's rows
-    are at most those of the one before. Neighbour minima are aggregates, so no list is gathered.
+    are at most those of the one before. Neighbour minima are aggregates, so no list is gathered;
+    adaptive execution splits the joins of a node with very many neighbours, whose rows are two numbers.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:

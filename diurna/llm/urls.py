@@ -12,10 +12,12 @@ many: captures are never grouped by host. Intervals are broadcast if counted to
 otherwise each is copied to SALTS places and the captures are dealt among them, so that the captures
 of a common host are joined by as many tasks.
 
-Defined cases: a host is tried with all its endings of whole labels, up to the most labels that a
-listed pattern has; an address of IP version 6 is a host without its brackets, and only whole; a null or unusable URL or fetch time matches nothing and is kept; entries without a
-pattern, date or action are void; entries of one pattern, list and instant count as one, the last by
-action name; repeated captures give repeated rows; extra columns are ignored.
+Defined cases: an empty table of captures gives an empty result, and without entries nothing decides;
+very long URLs are read whole; a host is tried with all its endings of whole labels, up to the most
+labels that a listed pattern has; an address of IP version 6 is a host without its brackets, and only
+whole; a null or unusable URL or fetch time matches nothing and is kept; entries without a pattern, date
+or action are void; entries of one pattern, list and instant count as one, the last by action name;
+repeated captures give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
