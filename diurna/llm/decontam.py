@@ -65,17 +65,22 @@ def blocks(fp: Column) -> list[Column]:
     return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(CUTS, CUTS[1:], strict=False)]
 
 
-def looked_up(fp: Column) -> Column:
-    """(block, value) of every block, as a window looks them up."""
-    return F.array(*(F.struct(F.lit(k).alias("block"), v.alias("value")) for k, v in enumerate(blocks(fp))))
+def _key(n: Column, block: int, value: Column) -> Column:
+    """Size, block number and block value in one number."""
+    return F.shiftleft(n.cast("long"), 24).bitwiseOR(F.lit(block << 16).cast("long")).bitwiseOR(value)
 
 
-def entered(fp: Column) -> Column:
-    """(block, value) for every value within RADIUS // BLOCKS bits of a block, as an item enters the index."""
+def looked_up(n: Column, fp: Column) -> Column:
+    """The keys of all blocks, as a window looks them up."""
+    return F.array(*(_key(n, k, v) for k, v in enumerate(blocks(fp))))
+
+
+def entered(n: Column, fp: Column) -> Column:
+    """The keys of every value within RADIUS // BLOCKS bits of a block, as an item enters the index."""
 
     def of(k: int, value: Column, bits: int) -> Column:
-        masks = [sum(1 << i for i in flips) for n in range(RADIUS // BLOCKS + 1) for flips in itertools.combinations(range(bits), n)]
-        return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
+        masks = [sum(1 << i for i in flips) for many in range(RADIUS // BLOCKS + 1) for flips in itertools.combinations(range(bits), many)]
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: _key(n, k, value.bitwiseXOR(m)))
 
     return F.concat(*(of(k, v, b - a) for k, (v, a, b) in enumerate(zip(blocks(fp), CUTS, CUTS[1:], strict=False))))
 
@@ -137,9 +142,10 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = written(windows.withColumn("window", F.monotonically_increasing_id()))
 
     prints = written(items.select("item", "n", simhash(F.col("bag")).alias("item_fp")))
-    index = written(prints.select("*", F.inline_outer(entered(F.col("item_fp")))))
+    index = written(prints.select("item", F.explode_outer(entered(F.col("n"), F.col("item_fp"))).alias("key")))
     found = written(windows.select("window", "n", simhash(F.col("bag")).alias("fp")))
-    pairs = found.select("*", F.inline_outer(looked_up(F.col("fp")))).join(small(index, index.count(), 40), ["n", "block", "value"])
+    pairs = found.select("window", "fp", F.posexplode_outer(looked_up(F.col("n"), F.col("fp"))).alias("block", "key")).join(small(index, index.count(), 32), "key")
+    pairs = pairs.join(small(prints.select("item", "item_fp"), items.count(), 32), "item")
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # a pair that meets in several blocks is kept once, at the first of them
     first = F.array_position(F.array(*(F.bit_count(v) <= RADIUS // BLOCKS for v in blocks(apart))), True) - 1

@@ -65,8 +65,9 @@ def test_blocks_meet_within_the_radius(spark):
             pairs.append((a, a ^ sum(1 << i for i in rng.sample(range(64), distance))))
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     df = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a long, b long").repartition(4)
-    met = F.arrays_overlap(decontam.looked_up(F.col("a")), decontam.entered(F.col("b")))
+    met = F.arrays_overlap(decontam.looked_up(F.lit(7), F.col("a")), decontam.entered(F.lit(7), F.col("b")))
     assert df.where(~met).count() == 0
+    assert df.where(F.arrays_overlap(decontam.looked_up(F.lit(8), F.col("a")), decontam.entered(F.lit(7), F.col("b")))).count() == 0  # of another size
     far = [(signed(rng.getrandbits(64)), signed(rng.getrandbits(64))) for _ in range(600)]
     assert spark.createDataFrame(far, "a long, b long").where(met).count() < 200
 
