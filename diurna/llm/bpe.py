@@ -31,10 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import SLICE_BYTES, binary_array, flat, gather, pretokens, slices
+from .textcore import SLICE_BYTES, binary_array, flat, gather, give_back, pretokens, slices
 
 #: Words whose ids a task remembers; when full it starts anew.
 REMEMBERED = 1_000_000
+#: Ids that are put in place and decoded at once (a single longer document is one step).
+STEP_IDS = 1 << 18
 
 
 @functools.cache
@@ -192,10 +194,16 @@ def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 table = starts, lengths, ids
             starts, lengths, ids = table
             sizes = lengths[places]
-            by_piece = np.append(0, np.cumsum(sizes))
-            ends = by_piece[np.append(0, np.cumsum(counts.astype(np.int64)))]
-            values = ids[gather(starts[places], sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
+            ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts.astype(np.int64)))]
+            pieces = np.append(0, np.cumsum(counts.astype(np.int64)))
+            lo = 0
+            while lo < len(counts):  # some documents at a time, as the next steps hold many times their ids
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP_IDS, side="right")) - 1)
+                own = slice(pieces[lo], pieces[hi])
+                values = ids[gather(starts[places[own]], sizes[own])]
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(ends[lo : hi + 1] - ends[lo], pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
+                lo = hi
+            give_back()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, limit: int = SLICE_BYTES) -> DataFrame:

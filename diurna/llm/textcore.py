@@ -6,6 +6,7 @@ buffers with numpy, so a batch costs a few array passes and no Python loop over
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Iterator
@@ -39,6 +40,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: idle workers share an executor's memory with busy ones."""
+    _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `limit` bytes of text, or one row."""
     _, offsets = flat(batch.column(text))
@@ -47,6 +58,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         upto = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
         upto = min(max(upto, at + 1), batch.num_rows)
         yield batch.slice(at, upto - at)
+        give_back()
         at = upto
 
 
