@@ -4,10 +4,11 @@
    equal words are one node. What SimHash links (`simhash.linked`) is one key more.
 2. Nodes that share a key are candidates. Two texts at the similarity share no band with a chance of
    (1 - SIMILARITY ** ROWS) ** BANDS, about 7 in 10,000, and less above it.
-3. In each key one node is the centre and is compared with all that are not connected to it yet, by
-   the Jaccard similarity of the sets of shingles. Then all that concerns the centre is decided and it
-   leaves the key. A key whose nodes are all connected is done. Centres are the nodes with most
-   candidates, so a large group of near copies is connected after few turns of one comparison a node.
+3. In each key the node with most candidates is the centre and is compared with all that are not
+   connected to it yet, by the Jaccard similarity of the sets of shingles. Then all that concerns the
+   centre is decided and it leaves the key. A key whose nodes are all connected is done. In the first
+   turn each node is compared in its largest key alone, which connects most of a group of near copies
+   by one comparison a node, however many keys they share.
 4. When what is left is little, its pairs are compared in blocks: of each key, all nodes outside the
    largest connected part against all nodes, STRAYS by MEMBERS of them in a task.
 
@@ -28,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import columns_of, components, linked, mixed, shingle_hashes, votes
+from .simhash import SLICE_BYTES, columns_of, components, linked, mixed, shingle_hashes, votes
 from .store import written
-from .textcore import SLICE_BYTES, gather, slices
+from .textcore import gather, slices
 from .words import small
 
 ROWS, BANDS = 6, 24
@@ -160,33 +161,33 @@ def rest_of(met: DataFrame, state: DataFrame, sets: DataFrame) -> DataFrame:
 def verified(met: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of nodes that links of the similarity connect, from met(key, node)."""
     sizes = met.groupBy("key").agg(F.count("*").alias("size"))
-    degrees = met.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree"))
-    met = written(met.join(degrees, "node"))
+    largest = met.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree"), F.max(F.struct("size", "key")).alias("most"))
+    met = written(met.join(largest, "node").select("key", "node", "degree", (F.col("key") == F.col("most.key")).alias("first")))
     comps, turn = None, 0
     while True:
-        own = met.withColumn("comp", F.col("node")) if comps is None else met.join(comps, "node", "left").select("key", "node", "degree", F.coalesce("root", "node").alias("comp"))
+        part = met if turn else met.where("first")
+        own = part.withColumn("comp", F.col("node")) if comps is None else part.join(comps, "node", "left").select(*part.columns, F.coalesce("root", "node").alias("comp"))
         own = written(own)
         by_comp = own.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct("degree", "node")).alias("c"))
-        state = by_comp.groupBy("key").agg(
-            F.sum("n").alias("m"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("big"), F.max(F.struct((-F.col("n")).alias("few"), "c.degree", "c.node", "comp")).alias("centre")
-        )
+        state = by_comp.groupBy("key").agg(F.sum("n").alias("m"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("big"), F.max(F.struct("c.degree", "c.node", "comp")).alias("centre"))
         state = written(state.where("comps > 1"))
         work = state.agg(F.sum("m").alias("nodes"), F.sum((F.col("m") - F.col("big.n")) * F.col("m")).cast("double").alias("pairs")).first()
-        if not work.nodes:
+        if turn and not work.nodes:
             break
-        turn += 1
-        last = turn > TURNS or (turn > 1 and work.pairs <= LITTLE * work.nodes)
+        last = turn > TURNS or (turn > 0 and work.pairs <= LITTLE * work.nodes)
         if last:
             links = rest_of(own, state, sets)
         else:
             open_ = own.join(state.select("key", F.col("centre.node").alias("centre"), F.col("centre.comp").alias("theirs")), "key")
             links = similar(open_.where("comp <> theirs").select("node", "centre").distinct(), sets)
-            met = written(open_.where("node <> centre").select("key", "node", "degree"))
+            if turn:  # what concerns the centre is decided in a key only once all its nodes were compared
+                met = written(open_.where("node <> centre").select(*met.columns))
+        turn += 1
         before = [] if comps is None else [comps.select(F.col("node").alias("a"), F.col("root").alias("b"))]
         comps = written(components(functools.reduce(DataFrame.unionByName, [written(links), *before])))
         if last:
             break
-    return comps if comps is not None else met.select("node", F.col("node").alias("root")).limit(0)
+    return comps
 
 
 def groups(docs: DataFrame, words: int, radius: int, tables: int) -> DataFrame:

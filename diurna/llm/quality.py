@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .textcore import LETTER, NUMBER, SPACE, classes, code_points, flat, slices
+from .textcore import LETTER, NUMBER, SPACE, classes, code_points, flat, give_back, slices
 
 #: Bound of the sample that the chain is fitted on.
 TRAIN_DOCS, TRAIN_LINES = 2000, 1 << 19
@@ -265,7 +265,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     if len(set(quality.tolist())) < 2:
         return None
     x = table.column("f").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, OWN + 1)
-    return fit(x[:, :OWN], x[:, OWN], table.column("lines").to_numpy(), quality)
+    model = fit(x[:, :OWN], x[:, OWN], table.column("lines").to_numpy(), quality)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, keep: bool = False) -> DataFrame:
