@@ -9,8 +9,9 @@
    centre is decided and it leaves the key. A key whose nodes are all connected is done. In the first
    turn each node is compared in its largest key alone, which connects most of a group of near copies
    by one comparison a node, however many keys they share.
-4. When what is left is little, its pairs are compared in blocks: of each key, all nodes outside the
-   largest connected part against all nodes, STRAYS by MEMBERS of them in a task.
+4. When what is left is little, or no longer falls, its pairs are compared in blocks: of each key, or of
+   keys that share most nodes, all nodes outside the largest connected part against all nodes, about
+   STRAYS by MEMBERS of them in a task.
 
 No task holds a whole key or group, and no pair of a key is left out: it is compared, or both are
 connected by others.
@@ -40,7 +41,7 @@ SIMILARITY = (4, 5)
 #: Pairs of one centre that a task compares; hashes of centres that are broadcast at most (32 MB).
 PAIRS, BROADCAST_HASHES = 4096, 4 << 20
 #: Nodes of a block; turns of centres at most; pairs for each node that are little enough to be compared in blocks.
-STRAYS, MEMBERS, TURNS, LITTLE = 128, 1024, 12, 16
+STRAYS, MEMBERS, TURNS, LITTLE = 1024, 4096, 12, 16
 
 
 def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -147,15 +148,36 @@ def compared(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def rest_of(met: DataFrame, state: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links among what is left in the keys, met(key, node, comp), compared in blocks."""
-    many = state.select("key", F.col("big.comp").alias("most"), F.ceil((F.col("m") - F.col("big.n")) / STRAYS).cast("int").alias("i_n"), F.ceil(F.col("m") / MEMBERS).cast("int").alias("j_n"))
-    rows = met.join(many, "key").withColumn("i", F.pmod(F.xxhash64("node"), "i_n").cast("int")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "j_n").cast("int"))
+def largest_part(rows: DataFrame, bucket: str) -> DataFrame:
+    """(bucket, m, comps, big): number of nodes and of connected parts, and the largest part, of rows(bucket, node, comp)."""
+    by_comp = rows.groupBy(bucket, "comp").agg(F.count("*").alias("n"))
+    return by_comp.groupBy(bucket).agg(F.sum("n").alias("m"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("big"))
+
+
+def rest_of(own: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links among what is left in the keys, own(key, node, comp), compared in blocks.
+
+    Keys that share many nodes would compare them again and again: what a chain of keys connects is
+    one bucket if it has fewer pairs than its keys have together; else each key is a bucket.
+    """
+    low = own.groupBy("key").agg(F.min("node").alias("low"))
+    chained = written(components(own.join(low, "key").select(F.col("node").alias("a"), F.col("low").alias("b")))).withColumnRenamed("root", "part")
+    rows = written(own.select("key", "node", "comp").join(chained, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    pairs = (F.col("m") - F.col("big.n")).cast("double") * F.col("m")
+    by_key = largest_part(rows, "key").select("key", pairs.alias("pairs")).join(rows.select("key", "part").distinct(), "key").groupBy("part").agg(F.sum("pairs").alias("apart"))
+    nodes = rows.select("part", "node", "comp").distinct()
+    joint = largest_part(nodes, "part").select("part", pairs.alias("pairs")).join(by_key, "part").where("pairs <= apart").select("part", F.lit(True).alias("joint"))
+    as_part = nodes.join(joint, "part").select(F.col("part").alias("bucket"), "node", "comp", F.lit(0).alias("kind"))
+    as_key = rows.join(joint, "part", "left_anti").select(F.col("key").alias("bucket"), "node", "comp", F.lit(1).alias("kind"))
+    left = written(as_part.unionByName(as_key).withColumn("bucket", F.xxhash64("bucket", "kind")).drop("kind"))
+    many = largest_part(left, "bucket").where("comps > 1")
+    many = many.select("bucket", F.col("big.comp").alias("most"), F.ceil((F.col("m") - F.col("big.n")) / STRAYS).cast("int").alias("i_n"), F.ceil(F.col("m") / MEMBERS).cast("int").alias("j_n"))
+    rows = left.join(many, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), "i_n").cast("int")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "j_n").cast("int"))
     up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    as_member = rows.select("key", "node", "comp", F.lit(False).alias("stray"), up_to("i_n").alias("i"), "j")
-    as_stray = rows.where("comp <> most").select("key", "node", "comp", F.lit(True).alias("stray"), "i", up_to("j_n").alias("j"))
+    as_member = rows.select("bucket", "node", "comp", F.lit(False).alias("stray"), up_to("i_n").alias("i"), "j")
+    as_stray = rows.where("comp <> most").select("bucket", "node", "comp", F.lit(True).alias("stray"), "i", up_to("j_n").alias("j"))
     blocks = as_member.unionByName(as_stray).join(sets.select("node", "shingles"), "node")
-    return blocks.groupBy("key", "i", "j").applyInArrow(compared, "a long, b long")
+    return blocks.groupBy("bucket", "i", "j").applyInArrow(compared, "a long, b long")
 
 
 def verified(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,7 +185,7 @@ def verified(met: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = met.groupBy("key").agg(F.count("*").alias("size"))
     largest = met.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree"), F.max(F.struct("size", "key")).alias("most"))
     met = written(met.join(largest, "node").select("key", "node", "degree", (F.col("key") == F.col("most.key")).alias("first")))
-    comps, turn = None, 0
+    comps, turn, strays = None, 0, float("inf")
     while True:
         part = met if turn else met.where("first")
         own = part.withColumn("comp", F.col("node")) if comps is None else part.join(comps, "node", "left").select(*part.columns, F.coalesce("root", "node").alias("comp"))
@@ -171,12 +193,14 @@ def verified(met: DataFrame, sets: DataFrame) -> DataFrame:
         by_comp = own.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct("degree", "node")).alias("c"))
         state = by_comp.groupBy("key").agg(F.sum("n").alias("m"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("big"), F.max(F.struct("c.degree", "c.node", "comp")).alias("centre"))
         state = written(state.where("comps > 1"))
-        work = state.agg(F.sum("m").alias("nodes"), F.sum((F.col("m") - F.col("big.n")) * F.col("m")).cast("double").alias("pairs")).first()
+        work = state.agg(F.sum("m").alias("nodes"), F.sum(F.col("m") - F.col("big.n")).alias("strays"), F.sum((F.col("m") - F.col("big.n")) * F.col("m")).cast("double").alias("pairs")).first()
         if turn and not work.nodes:
             break
-        last = turn > TURNS or (turn > 0 and work.pairs <= LITTLE * work.nodes)
+        # turns end when little is left, or when they connect little of it
+        last = turn > TURNS or (turn > 0 and work.pairs <= LITTLE * work.nodes) or (turn > 2 and work.strays > 0.75 * strays)
+        strays = work.strays if turn else strays
         if last:
-            links = rest_of(own, state, sets)
+            links = rest_of(own.join(state.select("key"), "key", "left_semi"), sets)
         else:
             open_ = own.join(state.select("key", F.col("centre.node").alias("centre"), F.col("centre.comp").alias("theirs")), "key")
             links = similar(open_.where("comp <> theirs").select("node", "centre").distinct(), sets)
