@@ -20,6 +20,17 @@ def long_form(days: DataFrame, columns: list[str], key: str = "participantid", o
     return days.select(key, order, F.explode(pairs).alias("p")).select(key, order, "p.feature", "p.x").where("x is not null and not isnan(x)")
 
 
+def summed_in_order(rows: DataFrame, keys: list[str], order: list[str], column: str, *others: Column) -> DataFrame:
+    """(keys, column, others): sums of a column whose rows are added one by one in this order, and other aggregates.
+
+    The last digits of a sum of doubles depend on its order. Added as rows arrive, equal rows would have sums that
+    differ between participants, and between the passes of one query, which breaks ties and comparisons with a median.
+    """
+    by = Window.partitionBy(*keys).orderBy(*order, column)
+    running = rows.withColumn("_at", F.row_number().over(by)).withColumn("_sum", F.sum(column).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return running.groupBy(*keys).agg(F.max_by("_sum", "_at").alias(column), *others)
+
+
 def pretty_step(low: Column, high: Column, bins: int = 10) -> Column:
     """Width of about `bins` round intervals over a range: 1, 2 or 5 (or 10) times a power of ten.
 

@@ -173,8 +173,8 @@ def nights(spark, d) -> DataFrame:
 
 
 def day_values(spark, d) -> DataFrame:
-    e = views.events(spark, d)
-    return e.groupBy("participantid", F.to_date("measuredat").alias("date_local")).agg(F.sum("value").alias("total"), F.avg("k").alias("level"), F.count("*").alias("n"))
+    e = views.events(spark, d).select("participantid", F.to_date("measuredat").alias("date_local"), "event_id", F.col("value").alias("total"), "k")
+    return secondary.summed_in_order(e, ["participantid", "date_local"], ["event_id"], "total", F.avg("k").alias("level"), F.count("*").alias("n"))
 
 
 def long_values(spark, d) -> DataFrame:
