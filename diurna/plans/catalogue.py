@@ -184,7 +184,8 @@ def long_values(spark, d) -> DataFrame:
 def outcome_values(spark, d) -> DataFrame:
     """Long values with a class of three for each participant."""
     e = views.events(spark, d).select("participantid", F.pmod("user_id", F.lit(3)).cast("string").alias("outcome")).distinct()
-    return long_values(spark, d).groupBy("participantid", "feature").agg(F.avg("x").alias("x")).join(e, "participantid")
+    sums = secondary.summed_in_order(long_values(spark, d), ["participantid", "feature"], ["date_local"], "x", F.count("x").alias("n"))
+    return sums.select("participantid", "feature", (F.col("x") / F.col("n")).alias("x")).join(e, "participantid")
 
 
 from . import catalogue_cleaning, catalogue_events, catalogue_statistics  # noqa: E402, F401

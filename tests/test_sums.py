@@ -34,3 +34,8 @@ def results(spark, name, stored):
 def test_days_above_the_median(spark, stored):
     forwards, backwards = results(spark, "e13_secondary_statistics", stored)
     assert forwards == backwards
+
+
+def test_equal_participants_share_a_rank(spark, stored):
+    forwards, backwards = results(spark, "f13_average_ranks", stored)
+    assert forwards == backwards
