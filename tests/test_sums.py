@@ -39,3 +39,8 @@ def test_days_above_the_median(spark, stored):
 def test_equal_participants_share_a_rank(spark, stored):
     forwards, backwards = results(spark, "f13_average_ranks", stored)
     assert forwards == backwards
+
+
+def test_prepared_fold(spark, stored):
+    forwards, backwards = results(spark, "n03_fold_preparation", stored)
+    assert forwards == backwards
