@@ -44,3 +44,8 @@ def test_equal_participants_share_a_rank(spark, stored):
 def test_prepared_fold(spark, stored):
     forwards, backwards = results(spark, "n03_fold_preparation", stored)
     assert forwards == backwards
+
+
+def test_winsorized_scores(spark, stored):
+    forwards, backwards = results(spark, "n02_winsorized", stored)
+    assert forwards == backwards
