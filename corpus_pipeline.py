@@ -51,7 +51,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path, P.PATTERN), path))
+    return bpe.digests(bpe.encode_and_decode(docs, path, P.PATTERN))
 
 
 STAGES = [

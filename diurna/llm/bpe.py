@@ -135,8 +135,8 @@ def encoded(path: str, pattern: str):
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             blobs = []
-            for blob in batch.column("words").to_pylist():
-                places, sizes, data = unpack(blob, "<u4", "<u4", "u1")
+            for blob in batch.column("words"):
+                places, sizes, data = unpack(blob.as_py(), "<u4", "<u4", "u1")
                 raw, at, out = data.tobytes(), 0, []
                 for size in sizes.tolist():
                     word = raw[at : at + size]
@@ -150,6 +150,8 @@ def encoded(path: str, pattern: str):
                 lengths = np.fromiter(map(len, out), "<u4", len(out))
                 blobs.append(pack(places, lengths, np.fromiter((i for ids in out for i in ids), "<u4", int(lengths.sum()))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(blobs, pa.binary())], ["block", "ids"])
+        known.clear()
+        give_back()
 
     return run
 
@@ -172,42 +174,52 @@ def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block, its ids before its documents: to (doc_id, ids)."""
     now, parts, table = None, [], None
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["block"] != now:
-                now, parts, table = row["block"], [], None
-            if row["ids"] is not None:
-                parts.append(unpack(row["ids"], "<u4", "<u4", "<u4"))
+        for at in range(batch.num_rows):
+            block, blob = batch.column("block")[at].as_py(), batch.column("ids")[at].as_py()
+            if block != now:
+                now, parts, table = block, [], None
+            if blob is not None:
+                parts.append(unpack(blob, "<u4", "<u4", "<u4"))
                 table = None
                 continue
-            counts, places, size = unpack(row["places"], "<u4", "<u4", "<u4")
+            counts, places, size = unpack(batch.column("places")[at].as_py(), "<u4", "<u4", "<u4")
             if table is None:
-                lengths = np.zeros(int(size[0]), np.int64)
-                have = np.zeros(int(size[0]), bool)
-                for p, n, _ in parts:
-                    lengths[p], have[p] = n, True
-                if not have.all():
-                    raise RuntimeError("words of a block are missing: the input changed between reads")
-                starts = np.cumsum(lengths) - lengths
-                ids = np.zeros(int(lengths.sum()), np.int32)
-                for p, n, x in parts:
-                    ids[gather(starts[p], n.astype(np.int64))] = x
-                table = starts, lengths, ids
+                table = ids_of_words(parts, int(size[0]))
+                parts = []  # no ids of a block come after its documents
             starts, lengths, ids = table
-            sizes = lengths[places]
-            ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts.astype(np.int64)))]
-            pieces = np.append(0, np.cumsum(counts.astype(np.int64)))
+            doc_ids = batch.column("doc_ids")[at].values
+            pieces = np.append(0, np.cumsum(counts, dtype=np.int64))
             lo = 0
             while lo < len(counts):  # some documents at a time, as the next steps hold many times their ids
-                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP_IDS, side="right")) - 1)
-                own = slice(pieces[lo], pieces[hi])
-                values = ids[gather(starts[places[own]], sizes[own])]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(ends[lo : hi + 1] - ends[lo], pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
+                # no more pieces than ids are taken, as each has one at least
+                hi = max(lo + 1, int(np.searchsorted(pieces, pieces[lo] + STEP_IDS, side="right")) - 1)
+                sizes = lengths[places[pieces[lo] : pieces[hi]]]
+                ends = np.append(0, np.cumsum(sizes))[pieces[lo : hi + 1] - pieces[lo]]
+                hi = max(lo + 1, lo + int(np.searchsorted(ends, STEP_IDS, side="right")) - 1)
+                ends, own = ends[: hi - lo + 1], slice(pieces[lo], pieces[hi])
+                values = ids[gather(starts[places[own]], sizes[: own.stop - own.start])]
+                yield pa.RecordBatch.from_arrays([doc_ids[lo:hi], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
                 lo = hi
             give_back()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, limit: int = SLICE_BYTES) -> DataFrame:
-    """(doc_id, ids array<int>) for every row of docs(doc_id, text)."""
+def ids_of_words(parts: list[list[np.ndarray]], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the ids of each word of a block begin, how many they are, and the ids."""
+    lengths = np.zeros(words, np.int64)
+    have = np.zeros(words, bool)
+    for p, n, _ in parts:
+        lengths[p], have[p] = n, True
+    if not have.all():
+        raise RuntimeError("words of a block are missing: the input changed between reads")
+    starts = np.cumsum(lengths) - lengths
+    ids = np.zeros(int(lengths.sum()), np.int32)
+    for p, n, x in parts:
+        ids[gather(starts[p], n.astype(np.int64))] = x
+    return starts, lengths, ids
+
+
+def parts_of(docs: DataFrame, path: str, pattern: str, limit: int) -> DataFrame:
+    """The ids of all words and the positions of all documents, sorted by block for `assembled`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = (
@@ -217,11 +229,16 @@ def encode(docs: DataFrame, path: str, pattern: str, limit: int = SLICE_BYTES) -
     )
     places = docs.mapInArrow(positions_of(limit), "block long, doc_ids array<long>, places binary")
     both = ids.unionByName(places, allowMissingColumns=True)
-    return both.repartition(buckets, "block").sortWithinPartitions("block", F.col("ids").isNull()).mapInArrow(assembled, "doc_id long, ids array<int>")
+    return both.repartition(buckets, "block").sortWithinPartitions("block", F.col("ids").isNull())
 
 
-def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """Adds `bytes`, what the ids of each row stand for. An id outside the vocabulary is an error."""
+def encode(docs: DataFrame, path: str, pattern: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """(doc_id, ids array<int>) for every row of docs(doc_id, text)."""
+    return parts_of(docs, path, pattern, limit).mapInArrow(assembled, "doc_id long, ids array<int>")
+
+
+def decoded(path: str):
+    """Rows with ids to the same rows with `bytes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
@@ -233,7 +250,21 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
             data, bounds = flat(table.take(values))
             yield pa.RecordBatch.from_arrays([*batch.columns, binary_array(data, bounds[ends]).cast(pa.binary())], [*batch.schema.names, "bytes"])
 
-    return tokens.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in tokens.schema.fields)}, bytes binary")
+    return run
+
+
+def decode(tokens: DataFrame, path: str) -> DataFrame:
+    """Adds `bytes`, what the ids of each row stand for. An id outside the vocabulary is an error."""
+    return tokens.mapInArrow(decoded(path), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in tokens.schema.fields)}, bytes binary")
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """`decode` of `encode`, with one Python worker for each task in place of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoded(path)(assembled(batches))
+
+    return parts_of(docs, path, pattern, limit).mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
@@ -252,4 +283,4 @@ def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digests(decode(encode(docs, path, P.PATTERN), path))
+    return digests(encode_and_decode(docs, path, P.PATTERN))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -93,3 +94,28 @@ def test_one_doc_id_fills_several_files_in_one_order(spark):
     assert one == two and [r[1] for r in one] == [sum(r[2] for r in one[:i]) for i in range(400)]
     reading = tokenfile.read(files[0])
     assert reading.rdd.getNumPartitions() >= files[0].count()
+
+
+def test_ids_are_put_in_place_in_little_memory():
+    """Many documents of short words, whose pieces hold many times their text if a block is taken at once."""
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "text": ["a b c d e f g h" * 128] * 4000})
+    words = [{k: r[k] for k in ("block", "words")} for b in bpe.words_of(8 << 20, 1)(iter([docs])) for r in b.to_pylist()]
+    ids = [r for b in bpe.encoded(MULTI, P.PATTERN)(iter([pa.RecordBatch.from_pylist(words)])) for r in b.to_pylist()]
+    rows = [r | {"ids": None} for b in bpe.positions_of(8 << 20)(iter([docs])) for r in b.to_pylist()]
+    kinds = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("places", pa.binary())])
+    rows = pa.RecordBatch.from_pylist([r for row in rows[:1] for r in [*(i for i in ids if i["block"] == row["block"]), row]], kinds)
+    tracemalloc.start()
+    try:
+        n = sum(len(part) for part in bpe.assembled(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(rows.column("doc_ids")[-1])
+    assert peak < 64 << 20
+
+
+def test_encoding_and_decoding_share_a_worker(spark):
+    docs = spark.createDataFrame([(1, "It's naïve"), (2, None)], "doc_id long, text string")
+    both = bpe.encode_and_decode(docs, MULTI, P.PATTERN)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 4
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, bpe.decode(bpe.encode(docs, MULTI, P.PATTERN), MULTI).collect()))
