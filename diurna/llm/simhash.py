@@ -41,6 +41,8 @@ TREE_SAMPLE, SHARD_SAMPLE, MOST_SAMPLE = 16_384, 12, 1_000_000
 SHARD_ROWS = 120_000
 #: Copies of the root of a group, so that many rows of one group are joined to it in several tasks.
 SALTS = 8
+#: Edges whose components one process finds: two numbers each, 2 MB.
+FEW_EDGES = 1 << 17
 #: A local tree stops splitting here and compares all with all.
 LEAF_ROWS = 512
 
@@ -266,14 +268,21 @@ def links(tables: list[DataFrame], radius: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): the smallest node that it is connected to.
+    """(node, root) for every node of edges (a, b) that is connected to a smaller one: the smallest.
 
     Alternates large-star and small-star: each node links what it is linked to with the smallest of
     them, until the edges are stars. Each round halves what is left of a chain, and a round's rows
     are at most those of the one before. Neighbour minima are aggregates, so no list is gathered;
     adaptive execution splits the joins of a node with very many neighbours, whose rows are two numbers.
+    At most FEW_EDGES edges are counted, then brought together, for rounds over few edges cost jobs and files alone.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= FEW_EDGES:
+        table = edges.toArrow()
+        nodes, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in "uv"]), return_inverse=True)
+        root = nodes[roots(len(nodes), *np.split(at, 2))]
+        moved = root != nodes
+        return edges.sparkSession.createDataFrame(pa.table({"node": nodes[moved], "root": root[moved]}), "node long, root long")
     # two tables of distinct edges are taken for equal if their numbers and two sums of hashes are
     row = F.xxhash64("u", "v")
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(row), F.sum(row.bitwiseAND(F.lit((1 << 31) - 1)))).first())

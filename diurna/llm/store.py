@@ -26,8 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return files.makeQualified(path).toString()
 
 
+#: Removes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written to shared storage once and read from there."""
-    folder = shared_folder(df.sparkSession)
-    df.write.mode("append").parquet(folder)  # the folder is new and empty
+    """The rows of df, written to shared storage once and read from there. No shuffle files are left."""
+    folder, conf = shared_folder(df.sparkSession), df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("append").parquet(folder)  # the folder is new and empty
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

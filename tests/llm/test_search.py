@@ -1,6 +1,7 @@
 """Near-duplicates and nearest neighbours against brute force; the pipeline."""
 
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from diurna.llm import hnsw, simhash, words
+from diurna.llm import hnsw, simhash, store, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -257,3 +258,30 @@ def test_rows_are_kept_by_text_not_by_id(spark):
     kept = [(r.doc_id, r.text) for r in c.one_of_each_group(spark, docs, SF).collect()]
     assert sorted((x for x in kept if x[1]), key=str) == sorted([(None, a), (None, b), (1, d), (1, e), (3, g)], key=str)
     assert len(kept) == 6
+
+
+@pytest.mark.parametrize("few", [0, simhash.FEW_EDGES])
+def test_components_of_few_and_of_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_EDGES", few)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-150, 150, (2, 130))
+    least = {int(x): int(x) for x in np.concatenate([a, b])}
+    for _ in least:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            least[x] = least[y] = min(least[x], least[y])
+    edges = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long")
+    assert {r.node: r.root for r in simhash.components(edges).collect()} == {x: y for x, y in least.items() if x != y}
+    assert simhash.components(edges.where("a = b")).collect() == []
+
+
+def test_written_rows_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {name for name in re.findall(r"shuffle_\d+", disk.getAllBlocks().mkString(" "))}
+    before, setting = held(), spark.conf.get(store.CLEANUP)
+    rows = store.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # files go soon after the query
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before and rows.count() == 7
+    assert spark.conf.get(store.CLEANUP) == setting
