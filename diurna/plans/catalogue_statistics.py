@@ -260,7 +260,7 @@ def _matrix(spark, d):
     days = day_values(spark, d)
     f = secondary.participant_features(days, ["total", "level", "n"], [])
     numbers = [c for c in f.columns if c.rsplit("_", 1)[-1] in ("mean", "median", "sd", "iqr", "rmssd")]
-    uid = F.col("participantid").cast("int")
+    uid = F.col("participantid").cast("long")
     return f.select("participantid", *numbers, F.when(uid % 2 == 0, "android").otherwise("ios").alias("device_type"), F.when(F.col("total_mean") > 90, "high").when(F.col("level_mean") > 50, "mid").otherwise("low").alias("outcome")), numbers
 
 
