@@ -34,3 +34,8 @@ def both(spark, name, folder):
 def test_prepared_fold(spark, folder):
     found, expected = both(spark, "n03_fold_preparation", folder)
     assert found == expected and len(found) > 20
+
+
+def test_winsorized_scores(spark, folder):
+    found, expected = both(spark, "n02_winsorized", folder)
+    assert found == expected and len(found) == 60
