@@ -14,10 +14,11 @@ STATISTICS = ("mean", "median", "sd", "iqr", "cv", "rmssd", "mad", "range", "abo
 MAD_FACTOR = 1.4826
 
 
-def long_form(days: DataFrame, columns: list[str], key: str = "participantid", order: str = "date_local") -> DataFrame:
-    """(key, order, feature, x): one row for each known value."""
+def long_form(days: DataFrame, columns: list[str], key: str = "participantid", order: str = "date_local", gaps: bool = False) -> DataFrame:
+    """(key, order, feature, x): one row for each known value; with `gaps` also one, without x, for each unknown value."""
     pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns))
-    return days.select(key, order, F.explode(pairs).alias("p")).select(key, order, "p.feature", "p.x").where("x is not null and not isnan(x)")
+    rows = days.select(key, order, F.explode(pairs).alias("p")).select(key, order, "p.feature", "p.x")
+    return rows.withColumn("x", F.when(~F.isnan("x"), F.col("x"))) if gaps else rows.where("x is not null and not isnan(x)")
 
 
 def summed_in_order(rows: DataFrame, keys: list[str], order: list[str], column: str, *others: Column) -> DataFrame:
@@ -68,7 +69,10 @@ MOST_BINS = 16
 
 
 def statistics(values: DataFrame, key: str = "participantid", order: str = "date_local") -> DataFrame:
-    """(key, feature, statistics...) from long values, in two passes: the second needs the medians and the range."""
+    """(key, feature, statistics...) from long values, in two passes: the second needs the medians and the range.
+
+    Differences are those of successive rows: a row without x leaves out both of its own, and counts nowhere else.
+    """
     keys = [key, "feature"]
     before = F.lag("x").over(Window.partitionBy(*keys).orderBy(order))
     first = values.withColumn("d", F.col("x") - before).groupBy(*keys).agg(
@@ -91,21 +95,24 @@ def statistics(values: DataFrame, key: str = "participantid", order: str = "date
         F.count_if(F.col("x") > F.col("median")).alias("above_median"),
         F.count_if(F.col("x") < F.col("median")).alias("below_median"),
         F.array(*(F.count_if(bin_ == k) for k in range(MOST_BINS))).alias("bins"),
-        F.count("*").alias("n"),
+        F.count("x").alias("n"),
     )
     spread = F.aggregate("bins", F.lit(0.0), lambda acc, m: acc + F.when(m > 0, m * F.log2(m.cast("double"))).otherwise(0.0))
-    return second.withColumn("entropy", F.log2("n") - spread / F.col("n")).select(*keys, *STATISTICS)
+    return second.withColumn("entropy", F.log2("n") - F.try_divide(spread, F.col("n"))).select(*keys, *STATISTICS)
 
 
 def numeric_columns(df: DataFrame, but: list[str]) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in but]
 
 
-def participant_features(days: DataFrame, columns: list[str] | None = None, first: list[str] | None = None) -> DataFrame:
-    """One row for each participant: number of days, all statistics of all columns, first known value of static columns."""
+def participant_features(days: DataFrame, columns: list[str] | None = None, first: list[str] | None = None, gaps: bool = False) -> DataFrame:
+    """One row for each participant: number of days, all statistics of all columns, first known value of static columns.
+
+    With `gaps` a day of an unknown value parts the days around it, and who has no known value has counts of 0.
+    """
     first = [c for c in (first if first is not None else ["device_type", *SCORE_COLUMNS]) if c in days.columns]
     columns = columns or numeric_columns(days, ["participantid", *first])
-    table = statistics(long_form(days, columns))
+    table = statistics(long_form(days, columns, gaps=gaps))
     wide = table.groupBy("participantid").pivot("feature", columns).agg(*(F.first(s).alias(s) for s in STATISTICS))
     known = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("date_local"))).alias(c) for c in first]
     base = days.groupBy("participantid").agg(F.count("*").alias("available_days"), *known)

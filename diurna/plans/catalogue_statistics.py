@@ -255,10 +255,10 @@ def n13(spark, d):
     return modelling.average_importance(views.events(spark, d).select(F.col("participantid").alias("feature"), F.col("k").alias("importance")), 5)
 
 
-def _matrix(spark, d):
-    """A participants' matrix with device and class."""
-    days = day_values(spark, d)
-    f = secondary.participant_features(days, ["total", "level", "n"], [])
+def _matrix(spark, d, gaps=True):
+    """A participants' matrix with device and class. With `gaps` differences end at days without known values, as in MATRIX."""
+    days = day_values(spark, d).where("participantid is not null")
+    f = secondary.participant_features(days, ["total", "level", "n"], [], gaps=gaps)
     numbers = [c for c in f.columns if c.rsplit("_", 1)[-1] in ("mean", "median", "sd", "iqr", "rmssd")]
     uid = F.col("participantid").cast("long")
     return f.select("participantid", *numbers, F.when(uid % 2 == 0, "android").otherwise("ios").alias("device_type"), F.when(F.col("total_mean") > 90, "high").when(F.col("level_mean") > 50, "mid").otherwise("low").alias("outcome")), numbers
@@ -302,7 +302,7 @@ def n04(spark, d):
 
 
 def _tuned(family):
-    return lambda spark, d: grids.tuned(*_matrix(spark, d), family).select("fold", "participantid", "actual", "predicted")
+    return lambda spark, d: grids.tuned(*_matrix(spark, d, gaps=False), family).select("fold", "participantid", "actual", "predicted")
 
 
 query("n08_elastic_net")(_tuned("elastic net"))
